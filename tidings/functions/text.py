@@ -25,7 +25,7 @@ _NODE_BREAK = "\u0001"
 # recurses on long attribute values such as inline images.
 MARKUP_PATTERN = (
     r"(?is)<!--.*?-->"
-    r"|<(script|style|template)\b[^>]*+>.*?</\1\s*+>"
+    r"|<(script|style|template)\b[^>]*+>.*?(?:</\1\s*+>|\z)"
     r"|</?[a-z!?][^'\">]*+(?:(?:\"[^\"]*+\"|'[^']*+')[^'\">]*+)*+>"
 )
 
@@ -118,6 +118,17 @@ def visible_text(html: Column, separator: str = "\n") -> Column:
     return F.array_join(F.filter(nodes, lambda node: node != ""), separator)
 
 
+def element_text(html: Column, tag: str) -> Column:
+    """Visible text of the first ``tag`` element, its text nodes joined; empty if none."""
+    inner = F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*+>(.*?)</{tag}\s*+>", 1)
+    return visible_text(inner, "")
+
+
+def first_filled(*candidates: Column) -> Column:
+    """The first candidate that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in candidates])
+
+
 def content_hash(title: Column, html: Column) -> Column:
     """SHA-256 hex of the title as given, a newline and the visible text of ``html``."""
     body = F.coalesce(visible_text(html), F.lit(""))

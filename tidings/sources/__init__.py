@@ -1,0 +1 @@
+"""Reading page snapshots and reading and writing the notice table."""

@@ -1,0 +1 @@
+"""Structured Streaming wrappers around the batch operators."""
