@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidings.functions.dom import find, inside, raw_text, shown_text
+from tidings.functions.dom import find, shown_text
 from tidings.functions.text import content_hash, first_filled
 from tidings.operators.dedup import first_per_group, first_seen
 from tidings.operators.details import (
@@ -283,11 +283,17 @@ _SQL_POSTS = f"""
     WITH {_SQL_BOARD}, posts AS (
       SELECT b.*, coalesce(nullif(no, ''), CAST(post AS VARCHAR)) AS external_id,
         2000 + doc_id % 25 AS y, 1 + doc_id % 12 AS m, 1 + doc_id % 28 AS dd,
+        CASE WHEN i % 10 = 7 THEN '{boards.PLACEHOLDER}' ELSE line_title END AS post_title,
         CASE source_code WHEN 'engineering' THEN CASE WHEN line_title = '' THEN '' ELSE line_title || chr(10) END || '{_SQL_TABLE}'
           WHEN 'ai' THEN line_title
           WHEN 'glc' THEN '<p>' || {_sql_line_html('line')} || '</p>' || '{_SQL_TABLE}'
           ELSE '<p>' || {_sql_line_html('line')} || '</p>' END AS html
-      FROM board b)
+      FROM board b),
+    judged AS (
+      SELECT *, CASE WHEN length(line) > {boards.LONGEST_CAPTURED} THEN 'no_page'
+                     WHEN post_title = '' THEN 'empty_title'
+                     WHEN post_title = '{boards.PLACEHOLDER}' THEN 'placeholder' END AS reason
+      FROM posts)
 """
 
 
@@ -295,10 +301,10 @@ _SQL_POSTS = f"""
     "crawl_notices",
     f"""
     {_SQL_POSTS}
-    SELECT source_code, external_id, line_title AS title, url,
-           {sql_content_hash('line_title', 'html')} AS content_hash,
+    SELECT source_code, external_id, post_title AS title, url,
+           {sql_content_hash('post_title', 'html')} AS content_hash,
            strftime(make_date(y, m, dd), '%Y-%m-%d') AS published_on
-    FROM posts WHERE line_title <> ''
+    FROM judged WHERE reason IS NULL
     QUALIFY row_number() OVER (PARTITION BY source_code, external_id ORDER BY list_page_id, pos) = 1
     """,
 )
@@ -321,7 +327,7 @@ def crawl_notices(spark, sf):
     "crawl_rejects",
     f"""
     {_SQL_POSTS}
-    SELECT source_code, url, 'empty_title' AS reason FROM posts WHERE line_title = ''
+    SELECT source_code, url, reason FROM judged WHERE reason IS NOT NULL
     """,
 )
 def crawl_rejects(spark, sf):

@@ -152,16 +152,15 @@ _SQL_TABLES = f"""
     stored AS (
       SELECT source AS source_code, CAST(doc_id AS VARCHAR) AS external_id,
         'Notice ' || doc_id AS title, 'https://n.example.org/' || doc_id AS url, text AS raw_html,
-        CASE WHEN doc_id % 7 = 0 THEN NULL
-             ELSE {sql_content_hash("'Notice ' || doc_id", 'text')} END AS content_hash,
-        CASE WHEN doc_id % 2 = 0 THEN 'tag' END AS hashtag, doc_id % 9 = 0 AS is_manual_edited
-      FROM documents WHERE doc_id % 3 <> 0),
+        CASE WHEN lang <> 'de' THEN {sql_content_hash("'Notice ' || doc_id", 'text')} END AS content_hash,
+        CASE WHEN lang = 'en' THEN 'tag' END AS hashtag, source < 'src15' AS is_manual_edited
+      FROM documents SEMI JOIN labels USING (doc_id)),
     batch AS (
       SELECT source AS source_code, CAST(doc_id AS VARCHAR) AS external_id,
-        'Notice ' || doc_id AS title, 'https://n.example.org/new/' || doc_id AS url,
-        CASE WHEN doc_id % 5 = 0 THEN text || ' changed' ELSE text END AS raw_html,
-        {sql_content_hash("'Notice ' || doc_id", "CASE WHEN doc_id % 5 = 0 THEN text || ' changed' ELSE text END")} AS content_hash
-      FROM documents WHERE doc_id % 10 <> 9),
+        'Notice ' || doc_id AS title, 'https://n.example.org/new/' || doc_id AS url, new_text AS raw_html,
+        {sql_content_hash("'Notice ' || doc_id", "new_text")} AS content_hash
+      FROM (SELECT *, CASE WHEN n_chars % 3 = 0 THEN text || ' changed' ELSE text END AS new_text
+            FROM documents WHERE lang <> 'es')),
     marks AS (
       SELECT coalesce(b.source_code, s.source_code) AS source_code,
         coalesce(b.external_id, s.external_id) AS external_id,
@@ -203,22 +202,20 @@ def _record(doc, html, url):
 
 
 def _stored(spark, sf):
-    """Notice table before the batch: two thirds of the documents, some without a hash."""
-    doc = F.col("doc_id")
-    old = table(spark, sf, "documents").filter(doc % 3 != 0)
+    """Notice table before the batch: the labelled documents; German ones have no hash."""
+    labels = table(spark, sf, "labels").select("doc_id")
+    lang = F.col("lang")
     stamp = F.lit(STORED_TS).cast("timestamp")
-    rows = old.select(
-        *_record(doc, F.col("text"), "https://n.example.org/"),
-        F.when(doc % 2 == 0, F.array(F.lit("tag"))).alias("hashtags"),
-        (doc % 9 == 0).alias("is_manual_edited"),
+    rows = table(spark, sf, "documents").join(labels, "doc_id", "left_semi").select(
+        *_record(F.col("doc_id"), F.col("text"), "https://n.example.org/"),
+        F.when(lang == "en", F.array(F.lit("tag"))).alias("hashtags"),
+        (F.col("source") < "src15").alias("is_manual_edited"),
         stamp.alias("created_at"),
         stamp.alias("updated_at"),
-        doc.alias("_doc"),
+        lang.alias("_lang"),
     )
-    rows = rows.withColumn(
-        "content_hash", F.when(F.col("_doc") % 7 != 0, F.col("content_hash"))
-    ).drop("_doc")
-    return _as_notices(spark, rows)
+    hashed = F.when(F.col("_lang") != "de", F.col("content_hash"))
+    return _as_notices(spark, rows.withColumn("content_hash", hashed).drop("_lang"))
 
 
 def _as_notices(spark, rows):
@@ -228,12 +225,13 @@ def _as_notices(spark, rows):
 
 
 def _batch(spark, sf):
-    """Incoming records: new url everywhere, changed text for every fifth document."""
-    doc = F.col("doc_id")
-    html = F.when(doc % 5 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
-    rows = table(spark, sf, "documents").filter(doc % 10 != 9)
+    """Incoming records: all but the Spanish documents, with new urls and some new texts."""
+    html = F.when(F.col("n_chars") % 3 == 0, F.concat("text", F.lit(" changed"))).otherwise(
+        F.col("text")
+    )
+    rows = table(spark, sf, "documents").filter(F.col("lang") != "es")
     return rows.select(
-        *_record(doc, html, "https://n.example.org/new/"),
+        *_record(F.col("doc_id"), html, "https://n.example.org/new/"),
         F.array().cast("array<struct<type:string,data:string,ext:string,name:string>>").alias("images"),
         F.array().cast("array<struct<name:string>>").alias("attachments"),
         F.lit(None).cast("timestamp").alias("published_at"),
@@ -306,7 +304,7 @@ def upsert_counts(spark, sf):
     WITH stored AS (
       SELECT CAST(c_custkey AS VARCHAR) AS uid, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_name || '@x' END AS email,
         c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS major
-      FROM customer WHERE c_custkey % 5 <> 0),
+      FROM customer WHERE c_mktsegment <> 'BUILDING'),
     claims AS (
       SELECT CAST(o_custkey AS VARCHAR) AS uid, o_orderkey AS seq,
         CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'm' || o_orderkey END AS email,
@@ -342,7 +340,7 @@ def user_upsert(spark, sf):
             ),
         ).cast(kind).alias("profile")
 
-    stored = table(spark, sf, "customer").filter(key % 5 != 0).select(
+    stored = table(spark, sf, "customer").filter(F.col("c_mktsegment") != "BUILDING").select(
         F.lit("google").alias("provider"),
         key.cast("string").alias("provider_user_id"),
         F.when(key % 4 != 0, F.concat("c_name", F.lit("@x"))).alias("email"),
@@ -365,7 +363,7 @@ def user_upsert(spark, sf):
 @query(
     "seed_absent",
     """
-    SELECT n_name, CASE WHEN n_nationkey % 4 = 0 THEN 'old ' || n_nationkey
+    SELECT n_name, CASE WHEN n_regionkey = 1 THEN 'old ' || n_nationkey
                         ELSE CAST(n_nationkey AS VARCHAR) END AS label
     FROM nation
     """,
@@ -374,7 +372,7 @@ def seed_absent(spark, sf):
     """Insert what is absent, leave what exists."""
     nation = table(spark, sf, "nation")
     key = F.col("n_nationkey")
-    existing = nation.filter(key % 4 == 0).select(
+    existing = nation.filter(F.col("n_regionkey") == 1).select(
         "n_name", F.concat(F.lit("old "), key).alias("label")
     )
     seed = nation.select("n_name", key.cast("string").alias("label"))
@@ -444,7 +442,7 @@ def recent_runs_report(spark, sf):
         CASE WHEN (o_orderkey // 2) % 3 = 0 THEN 'success' END AS status,
         CASE WHEN (o_orderkey // 2) % 3 <> 2 THEN CAST((o_orderkey // 2) % 10 AS INTEGER) END AS notices_upserted,
         CASE WHEN (o_orderkey // 2) % 3 = 1 THEN repeat('e', 2500) END AS error_message
-      FROM orders WHERE (o_orderkey // 2) % 4 = 0),
+      FROM orders WHERE o_orderstatus = 'P'),
     marked AS (
       SELECT r.*, started_at = max(started_at) OVER (PARTITION BY task_id) AS latest FROM runs r)
     SELECT m.id, coalesce(u.status, m.status) AS status,
@@ -458,7 +456,7 @@ def run_update(spark, sf):
     task = (F.col("o_orderkey") / 2).cast("bigint")
     updates = (
         table(spark, sf, "orders")
-        .filter(task % 4 == 0)
+        .filter(F.col("o_orderstatus") == "P")
         .select(task.alias("t"))
         .distinct()
         .select(
@@ -529,7 +527,7 @@ def source_lookup(spark, sf):
     "enrich_pending",
     """
     SELECT d.doc_id, md5(d.text) AS text_hash FROM documents d
-    WHERE d.doc_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+    WHERE d.lang = 'en' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
       AND d.doc_id % 3 <> 1
     """,
 )
@@ -542,7 +540,7 @@ def enrich_pending(spark, sf):
         "text",
         F.when(doc % 3 == 0, "{}").when(doc % 3 == 1, '{"major": 1}').alias("ai_extracted_json"),
     )
-    keys = documents.filter(doc % 2 == 0).select("doc_id")
+    keys = documents.filter(F.col("lang") == "en").select("doc_id")
     # At-least-once feed: every key twice, and one that has no notice.
     feed = keys.unionByName(keys).unionByName(keys.select((-1 - doc).alias("doc_id")))
     done = table(spark, sf, "labels").select("doc_id")
@@ -554,14 +552,14 @@ def enrich_pending(spark, sf):
     "unknown_code",
     """
     SELECT source AS source_code, count(*) AS n FROM documents
-    WHERE source NOT IN (SELECT 'src' || n_nationkey FROM nation WHERE n_nationkey % 3 = 0)
+    WHERE source NOT IN (SELECT 'src' || r_regionkey FROM region)
     GROUP BY source
     """,
 )
 def unknown_code(spark, sf):
     """Rows of sources the registry does not have."""
-    known = table(spark, sf, "nation").filter(F.col("n_nationkey") % 3 == 0).select(
-        F.concat(F.lit("src"), F.col("n_nationkey")).alias("external_id")
+    known = table(spark, sf, "region").select(
+        F.concat(F.lit("src"), F.col("r_regionkey")).alias("external_id")
     )
     # Counted before the join, so a source with very many rows is one row per task.
     per_source = (
@@ -646,13 +644,13 @@ def check_unique(spark, sf):
     "check_fk",
     """
     SELECT 'orders' AS "table", 'foreign_key' AS rule, CAST(o_custkey AS VARCHAR) AS key, count(*) AS n
-    FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)
+    FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)
     GROUP BY o_custkey
     """,
 )
 def check_fk(spark, sf):
-    """Orders whose customer is missing (every tenth customer is taken away)."""
-    parents = table(spark, sf, "customer").filter(F.col("c_custkey") % 10 != 0)
+    """Orders whose customer is missing among those with a balance."""
+    parents = table(spark, sf, "customer").filter(F.col("c_acctbal") >= 0)
     return integrity.check_foreign_key(
         table(spark, sf, "orders"), "orders", "o_custkey", parents, "c_custkey"
     )

@@ -193,7 +193,7 @@ def title_preview(spark, sf):
     "entities",
     f"""
     SELECT page_id, md5({sql_decode('html')}) AS decoded,
-           '가 & é ' || chr(page_id % 90 + 33) || ' &unknown x' AS rare
+           '가 & é ' || chr(CAST(page_id % 90 + 33 AS INTEGER)) || ' &unknown x' AS rare
     FROM pages
     """,
 )
@@ -209,12 +209,6 @@ def entities(spark, sf):
     )
 
 
-_STYLES = {
-    "iso": "strftime(o_orderdate, '%Y-%m-%d')",
-    "short": "CAST(year(o_orderdate) AS VARCHAR) || '.' || month(o_orderdate) || '.' || day(o_orderdate)",
-}
-
-
 @query(
     "published_at",
     """
