@@ -30,4 +30,4 @@ def _cp949(raw: pa.Array) -> pa.Array:
 
 def decode_cp949(raw: Column) -> Column:
     """CP949 with the replacement character; Spark's own ``decode`` lacks this charset."""
-    return F.arrow_udf(_cp949, "string")(raw)
+    return F.arrow_udf(_cp949, "string").asNondeterministic()(raw)

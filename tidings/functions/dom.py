@@ -37,6 +37,7 @@ HIDDEN_TEXT_TAGS = frozenset("script style template rt rp".split())
 DROPPED_TAGS = frozenset("script style noscript iframe".split())
 UNSEEN_TAGS = frozenset("script style noscript".split())
 SPACE_KEEPING_TAGS = frozenset("pre textarea".split())
+ASCII_SPACES = "\n\t\x0c\r "
 LIST_ATTRIBUTES = frozenset("class rel rev headers accesskey dropzone".split())
 
 DOM_TYPE = (
@@ -45,29 +46,68 @@ DOM_TYPE = (
 )
 
 
+class _Entries:
+    """Entries of all pages of a batch, column by column."""
+
+    def __init__(self):
+        self.kind, self.tag, self.peer, self.parent = [], [], [], []
+        self.ink, self.zone, self.text, self.pos = [], [], [], []
+        self.attr_starts, self.names, self.values = [0], [], []
+
+    def to_arrow(self) -> pa.StructArray:
+        ints, text = pa.int32(), pa.string()
+        attrs = pa.MapArray.from_arrays(
+            pa.array(self.attr_starts, ints), pa.array(self.names, text), pa.array(self.values, text)
+        )
+        columns = {
+            "pos": pa.array(self.pos, ints),
+            "kind": pa.array(self.kind, text),
+            "tag": pa.array(self.tag, text),
+            "peer": pa.array(self.peer, ints),
+            "parent": pa.array(self.parent, ints),
+            "ink": pa.array(self.ink, ints),
+            "zone": pa.array(self.zone, text),
+            "text": pa.array(self.text, text),
+            "attrs": attrs,
+        }
+        return pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+
 class _TreeBuilder(HTMLParser):
-    """Collects the entries of one page; see the module text for their meaning.
+    """Appends the entries of one page; see the module text for their meaning.
 
     ``ink`` of an element is the number of non-blank shown texts and tables in it, the
     element itself included; zero means blank. ``zone`` is the outermost enclosing element
     whose content is dropped by cleaning, if any.
     """
 
-    def __init__(self):
+    def __init__(self, entries: _Entries):
         super().__init__(convert_charrefs=False)
-        self.rows = []
+        self.out = entries
+        self.base = len(entries.pos)
         self.stack = []
         self.open_tags = Counter()
         self.data = []
         self.ink = 0
         self.just_closed = []
 
-    def _add(self, kind, tag=None, peer=None, ink=0, text=None, attrs=None):
+    def _add(self, kind, tag=None, peer=None, ink=0, text=None):
+        out, base = self.out, self.base
         parent = self.stack[-1] if self.stack else -1
-        zone = self.rows[parent][6] if parent >= 0 else None
+        zone = out.zone[base + parent] if parent >= 0 else None
         if zone is None and tag in DROPPED_TAGS:
             zone = tag
-        self.rows.append([len(self.rows), kind, tag, peer, parent, ink, zone, text, attrs])
+        pos = len(out.pos) - base
+        out.pos.append(pos)
+        out.kind.append(kind)
+        out.tag.append(tag)
+        out.peer.append(peer)
+        out.parent.append(parent)
+        out.ink.append(ink)
+        out.zone.append(zone)
+        out.text.append(text)
+        out.attr_starts.append(len(out.names))
+        return pos
 
     def _within(self, tags):
         return any(self.open_tags[t] for t in tags)
@@ -77,35 +117,39 @@ class _TreeBuilder(HTMLParser):
             return
         text = "".join(self.data)
         self.data = []
-        if not text.strip("\n\t\x0c\r ") and not self._within(SPACE_KEEPING_TAGS):
+        shown = bool(text.strip())
+        if not shown and not text.strip(ASCII_SPACES) and not self._within(SPACE_KEEPING_TAGS):
             text = "\n" if "\n" in text else " "
-        ink = int(bool(text.strip()) and not self._within(UNSEEN_TAGS))
+        ink = int(shown and not self._within(UNSEEN_TAGS))
         self.ink += ink
         self._add(HIDDEN if self._within(HIDDEN_TEXT_TAGS) else TEXT, ink=ink, text=text)
 
     def _close_top(self):
         start = self.stack.pop()
-        row = self.rows[start]
-        self.open_tags[row[2]] -= 1
-        row[3] = len(self.rows)
-        row[5] = self.ink - row[5]
-        self._add(CLOSE, tag=row[2], peer=start, ink=row[5])
+        row, out = self.base + start, self.out
+        self.open_tags[out.tag[row]] -= 1
+        out.peer[row] = len(out.pos) - self.base
+        out.ink[row] = self.ink - out.ink[row]
+        self._add(CLOSE, tag=out.tag[row], peer=start, ink=out.ink[row])
 
     def _close(self, tag):
         if self.open_tags[tag]:
-            while self.rows[self.stack[-1]][2] != tag:
+            while self.out.tag[self.base + self.stack[-1]] != tag:
                 self._close_top()
             self._close_top()
 
     def _start(self, tag, attrs):
         self._flush()
-        values = {}
-        for name, value in attrs:
-            value = "" if value is None else value
-            values[name] = " ".join(value.split()) if name in LIST_ATTRIBUTES else value
-        self._add(OPEN, tag=tag, ink=self.ink, attrs=values)
+        if attrs:
+            values = {}
+            for name, value in attrs:
+                value = "" if value is None else value
+                values[name] = " ".join(value.split()) if name in LIST_ATTRIBUTES else value
+            self.out.names.extend(values)
+            self.out.values.extend(values.values())
+        start = self._add(OPEN, tag=tag, ink=self.ink)
         self.ink += tag == "table"
-        self.stack.append(len(self.rows) - 1)
+        self.stack.append(start)
         self.open_tags[tag] += 1
 
     def handle_starttag(self, tag, attrs):
@@ -146,51 +190,37 @@ class _TreeBuilder(HTMLParser):
     def unknown_decl(self, data):
         self.data.append(data.removeprefix("CDATA["))
 
-    def tree(self, html):
+    def build(self, html):
         self.feed(html)
         self.close()
         self._flush()
         while self.stack:
             self._close_top()
-        return self.rows
 
 
 def _parse(pages: pa.Array) -> pa.Array:
-    columns = [[] for _ in range(8)]
-    starts, attr_starts, names, values = [0], [0], [], []
+    entries = _Entries()
+    starts, refused = [0], []
     for html in pages.to_pylist():
         try:
-            rows = _TreeBuilder().tree(html) if html is not None else None
+            if html is not None:
+                _TreeBuilder(entries).build(html)
+            refused.append(html is None)
         except AssertionError:  # the tokenizer's way to refuse a page
-            rows = None
-        if rows is None:
-            starts[-1] = None
-            starts.append(len(columns[0]))
-            continue
-        for row in rows:
-            for column, value in zip(columns, row):
-                column.append(value)
-            attrs = row[8]
-            if attrs:
-                names.extend(attrs)
-                values.extend(attrs.values())
-            attr_starts.append(len(names))
-        starts.append(len(columns[0]))
-    ints, text = pa.int32(), pa.string()
-    types = (ints, text, text, ints, ints, ints, text, text)
-    fields = [pa.array(c, t) for c, t in zip(columns, types)]
-    fields.append(
-        pa.MapArray.from_arrays(pa.array(attr_starts, ints), pa.array(names, text), pa.array(values, text))
-    )
-    entries = pa.StructArray.from_arrays(
-        fields, ["pos", "kind", "tag", "peer", "parent", "ink", "zone", "text", "attrs"]
+            refused.append(True)
+        starts.append(len(entries.pos))
+    return pa.ListArray.from_arrays(
+        pa.array(starts, pa.int32()), entries.to_arrow(), mask=pa.array(refused, pa.bool_())
     )
-    return pa.ListArray.from_arrays(pa.array(starts, ints), entries)
 
 
 def parse_html(html: Column) -> Column:
-    """Element tree of a page; null for a null page or one the tokenizer refuses."""
-    return F.arrow_udf(_parse, DOM_TYPE)(html)
+    """Element tree of a page; null for a null page or one the tokenizer refuses.
+
+    Declared non-deterministic to keep it where it is written: otherwise a filter on an
+    extracted column is pushed below joins together with a second copy of the parser.
+    """
+    return F.arrow_udf(_parse, DOM_TYPE).asNondeterministic()(html)
 
 
 # --- selectors ------------------------------------------------------------------------
@@ -373,20 +403,28 @@ def structural_text(entries: Column, dropped: Column, block_tags: Column) -> Col
         cut_inside = F.filter(cut, lambda c: (c["pos"] > low) & (c["peer"] < high))
         return e["ink"] == F.aggregate(cut_inside, F.lit(0), lambda n, c: n + c["ink"])
 
-    def written(tables: Column, cut: Column) -> Column:
+    def is_block(e: Column) -> Column:
+        return F.array_contains(block_tags, e["tag"])
+
+    def around(outer: Column, e: Column) -> Column:
+        return (outer["pos"] <= e["pos"]) & (e["pos"] <= outer["peer"])
+
+    def written(tables: Column, blanks: Column) -> Column:
         def piece(e: Column) -> Column:
-            holder = F.get(
-                F.filter(tables, lambda t: (t["pos"] <= e["pos"]) & (e["pos"] <= t["peer"])), 0
+            holder = F.get(F.filter(tables, lambda t: around(t, e)), 0)
+            may_be_blank = (e["kind"] != TEXT) | (e["ink"] == 0)
+            unseen = e["zone"].isin(*sorted(UNSEEN_TAGS)) | (
+                may_be_blank & F.exists(blanks, lambda b: around(b, e))
             )
-            mark = F.when(e["kind"] == OPEN, _BLOCK_OPEN).otherwise(_BLOCK_CLOSE)
             plain = (
                 F.when(e["kind"].isin(TEXT, HIDDEN), e["text"])
                 .when((e["kind"] == OPEN) & (e["tag"] == "br"), F.lit("\n"))
-                .when(F.array_contains(block_tags, e["tag"]) & ~blank(e, cut), mark)
+                .when(is_block(e) & (e["kind"] == OPEN), F.lit(_BLOCK_OPEN))
+                .when(is_block(e), F.lit(_BLOCK_CLOSE))
                 .otherwise(F.lit(""))
             )
             return (
-                F.when(holder.isNull() & e["zone"].isin(*sorted(UNSEEN_TAGS)), F.lit(""))
+                F.when(holder.isNull() & F.coalesce(unseen, F.lit(False)), F.lit(""))
                 .when(holder.isNull(), plain)
                 .when(e["zone"].isNotNull(), F.lit(""))
                 .otherwise(markup(e, e["pos"] == holder["pos"]))
@@ -394,10 +432,11 @@ def structural_text(entries: Column, dropped: Column, block_tags: Column) -> Col
 
         return F.array_join(F.transform(entries, piece), "")
 
-    text = let(
-        find_all(entries, lambda e: e["tag"] == "table"),
-        lambda tables: let(dropped, lambda cut: written(tables, cut)),
-    )
+    def with_blanks(tables: Column) -> Column:
+        blanks = let(dropped, lambda cut: find_all(entries, lambda e: is_block(e) & blank(e, cut)))
+        return let(blanks, lambda found: written(tables, found))
+
+    text = let(find_all(entries, lambda e: e["tag"] == "table"), with_blanks)
     opened = F.regexp_replace(
         text, rf"(?U){_BLOCK_OPEN}[{WHITESPACE_CLASS}{_BLOCK_OPEN}]*", "\n"
     )

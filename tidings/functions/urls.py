@@ -119,13 +119,17 @@ def notice_key(number: Column, url: Column) -> Column:
     return F.coalesce(F.nullif(number, F.lit("")), external_id(url))
 
 
-def _without_dot_segments(path: Column) -> Column:
-    """Resolve ``.`` and ``..`` and drop empty inner segments of an absolute path."""
+def _without_dot_segments(path: Column, merge_slashes: bool) -> Column:
+    """Resolve ``.`` and ``..`` of an absolute path, optionally dropping empty inner segments."""
 
     def resolved(segments: Column) -> Column:
         last = F.element_at(segments, -1)
         inner = F.filter(
-            segments, lambda s, i: (s != "") | (i == 0) | (i == F.size(segments) - 1)
+            segments,
+            lambda s, i: F.lit(not merge_slashes)
+            | (s != "")
+            | (i == 0)
+            | (i == F.size(segments) - 1),
         )
         walked = F.aggregate(
             inner,
@@ -157,12 +161,12 @@ def resolve_url(base: Column, href: Column) -> Column:
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
         .when(
             href.startswith("/"),
-            F.concat(origin, _without_dot_segments(href_path), href_rest),
+            F.concat(origin, _without_dot_segments(href_path, False), href_rest),
         )
         .when(href.startswith("?"), F.concat(origin, base_path, href))
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, r"(?s)#.*$", ""), href))
         .otherwise(
-            F.concat(origin, _without_dot_segments(F.concat(folder, href_path)), href_rest)
+            F.concat(origin, _without_dot_segments(F.concat(folder, href_path), True), href_rest)
         )
     )
 

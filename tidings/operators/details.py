@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -616,37 +617,52 @@ def attachments_with_icon(dom: Column, box_id: str, size_pattern: str) -> Column
 # --- the job ------------------------------------------------------------------------------
 
 
-def extract_details(trees: DataFrame, sites) -> DataFrame:
-    """One row per page: ``source_code, page_id, url, title, date_str, html, images,
-    attachment_names``.
+@lru_cache(maxsize=64)
+def _detail_columns(sites, application: str):
+    """The rules of ``sites`` as expressions: helper columns, then result columns.
 
-    ``trees`` has ``source_code, page_id, url, dom``. No shuffle; each rule is evaluated on
-    the rows of its own source only.
+    Putting them together takes seconds of driver time, so they are kept for the
+    application; a ``Column`` belongs to no DataFrame.
     """
     code, dom, url = F.col("source_code"), F.col("dom"), F.col("url")
 
     def choose(expression) -> Column:
         return per_source(code, {s.code: expression(s) for s in sites})
 
-    prepared = trees.withColumns(
-        {"body": choose(lambda s: s.body(dom).cast(BODY_TYPE)), "rule": rule_of(code, sites)}
-    )
     region, rule = F.col("body"), F.col("rule")
-    no_images = F.array().cast(IMAGE_TYPE)
-    no_names = F.array().cast("array<string>")
     html = let(
         write_body(region, rule["body"]),
         lambda h: F.when(
             h.isNull() | (rule["body"]["empty_is_missing"] & (h == "")), rule["no_body"]
         ).otherwise(h),
     )
-    return prepared.select(
-        "source_code",
-        "page_id",
-        "url",
-        F.coalesce(choose(lambda s: s.title(dom)), rule["no_title"]).alias("title"),
-        F.coalesce(choose(lambda s: s.date(dom)), rule["no_date"]).alias("date_str"),
-        html.alias("html"),
-        F.coalesce(find_images(region["entries"], url, rule["images"]), no_images).alias("images"),
-        F.coalesce(choose(lambda s: s.attachments(dom)), no_names).alias("attachment_names"),
-    )
+    images = find_images(region["entries"], url, rule["images"])
+    helpers = {
+        "body": choose(lambda s: s.body(dom).cast(BODY_TYPE)),
+        "rule": rule_of(code, sites),
+    }
+    results = {
+        "title": F.when(
+            dom.isNotNull(), F.coalesce(choose(lambda s: s.title(dom)), rule["no_title"])
+        ),
+        "date_str": F.coalesce(choose(lambda s: s.date(dom)), rule["no_date"]),
+        "html": html,
+        "images": F.coalesce(images, F.array().cast(IMAGE_TYPE)),
+        "attachment_names": F.coalesce(
+            choose(lambda s: s.attachments(dom)), F.array().cast("array<string>")
+        ),
+    }
+    return helpers, [column.alias(name) for name, column in results.items()]
+
+
+def extract_details(trees: DataFrame, sites) -> DataFrame:
+    """One row per page: ``source_code, page_id, url, title, date_str, html, images,
+    attachment_names``.
+
+    ``trees`` has ``source_code, page_id, url, dom``. No shuffle; each rule is evaluated on
+    the rows of its own source only. A page the tokenizer refused has no title, so it is
+    rejected later.
+    """
+    application = trees.sparkSession.sparkContext.applicationId
+    helpers, results = _detail_columns(tuple(sites), application)
+    return trees.withColumns(helpers).select("source_code", "page_id", "url", *results)

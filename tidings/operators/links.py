@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -279,23 +281,23 @@ def first_by_url(links: Column) -> Column:
     return F.transform(F.array_sort(by_pos), lambda x: x["link"])
 
 
-def extract_links(trees: DataFrame, sites) -> DataFrame:
-    """One row per link: ``source_code, list_page_id, pos, no, url, title``.
+@lru_cache(maxsize=64)
+def _links_column(sites, application: str) -> Column:
+    """The link rules of ``sites`` as one expression over a page row.
 
-    ``trees`` has ``source_code, page_id, url, dom``. The whole extraction of a page is one
-    expression over its row; only the narrow link rows leave it.
+    Putting it together takes seconds of driver time, so it is kept for the application;
+    a ``Column`` belongs to no DataFrame.
     """
     code = F.col("source_code")
     found = per_source(code, {s.code: s.links(F.col("dom")).cast(LINK_TYPE) for s in sites})
+    numbered = {s.code: s.link_no for s in sites if s.link_no is not None}
 
     def resolved(x: Column, i: Column) -> Column:
         return let(
             resolve_url(F.col("url"), x["href"]),
             lambda u: F.struct(
                 i.alias("pos"),
-                per_source(
-                    code, {s.code: s.link_no(u) for s in sites if s.link_no is not None}, x["no"]
-                ).alias("no"),
+                per_source(code, {c: no(u) for c, no in numbered.items()}, x["no"]).alias("no"),
                 u.alias("url"),
                 x["title"].alias("title"),
             ),
@@ -303,13 +305,23 @@ def extract_links(trees: DataFrame, sites) -> DataFrame:
 
     links = F.transform(found, resolved)
     unique = [s.code for s in sites if s.unique_links]
-    if unique:
-        links = let(
-            links,
-            lambda all_links: F.when(code.isin(*unique), first_by_url(all_links)).otherwise(
-                all_links
-            ),
-        )
+    if not unique:
+        return links
+    return let(
+        links,
+        lambda found_links: F.when(code.isin(*unique), first_by_url(found_links)).otherwise(
+            found_links
+        ),
+    )
+
+
+def extract_links(trees: DataFrame, sites) -> DataFrame:
+    """One row per link: ``source_code, list_page_id, pos, no, url, title``.
+
+    ``trees`` has ``source_code, page_id, url, dom``. The whole extraction of a page is one
+    expression over its row; only the narrow link rows leave it.
+    """
+    links = _links_column(tuple(sites), trees.sparkSession.sparkContext.applicationId)
     return trees.select(
         "source_code", F.col("page_id").alias("list_page_id"), F.explode(links).alias("link")
     ).select("source_code", "list_page_id", "link.pos", "link.no", "link.url", "link.title")

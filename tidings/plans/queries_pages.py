@@ -17,8 +17,9 @@ from tidings.operators.details import (
 from tidings.operators.links import anchor_links, extract_links
 from tidings.plans import boards
 from tidings.plans.catalog import query, sql_content_hash, sql_decode, sql_strip, sql_visible, table
-from tidings.plans.crawl import notices_of, posts_of
+from tidings.plans.crawl import links_of, notices_of, posts_of
 from tidings.plans.sites import NO_DATE, NO_TITLE, SITES, Site
+from tidings.session import staged
 from tidings.sources.pages import trees
 
 # A source as a user would add one: plain pages with a navigation list and one article.
@@ -297,6 +298,13 @@ _SQL_POSTS = f"""
 """
 
 
+def _crawled(spark, sf):
+    """Posts and links without page, from list pages and post pages of all documents."""
+    documents = table(spark, sf, "documents")
+    links = staged(links_of(boards.list_pages(documents), SITES))
+    return posts_of(links, boards.post_pages(documents), SITES)
+
+
 @query(
     "crawl_notices",
     f"""
@@ -310,9 +318,8 @@ _SQL_POSTS = f"""
 )
 def crawl_notices(spark, sf):
     """The whole way: list pages, links, detail pages, records, first copy per key."""
-    documents = table(spark, sf, "documents")
-    posts, _ = posts_of(boards.list_pages(documents), boards.post_pages(documents), SITES)
-    records, _ = notices_of(posts)
+    posts, _ = _crawled(spark, sf)
+    records, _ = notices_of(staged(posts))
     return records.select(
         "source_code",
         "external_id",
@@ -332,9 +339,8 @@ def crawl_notices(spark, sf):
 )
 def crawl_rejects(spark, sf):
     """What the crawl leaves out, with the reason."""
-    documents = table(spark, sf, "documents")
-    posts, missing = posts_of(boards.list_pages(documents), boards.post_pages(documents), SITES)
-    _, rejected = notices_of(posts)
+    posts, missing = _crawled(spark, sf)
+    _, rejected = notices_of(staged(posts))
     return rejected.unionByName(missing).select("source_code", "url", "reason")
 
 

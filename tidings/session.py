@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tidings", **conf) -> SparkSession:
@@ -32,3 +33,15 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return tempfile.mkdtemp(prefix="tidings-")
+
+
+def staged(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """Write rows once to the shared folder and read them back.
+
+    Used where several outputs need the same expensive rows: the lineage is cut, a lost
+    executor does not lose them, and filters on extracted columns become filters on a file
+    scan instead of a second evaluation of the extraction.
+    """
+    path = path or f"{shared_folder(rows.sparkSession)}/stage-{uuid.uuid4().hex}"
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

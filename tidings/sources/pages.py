@@ -57,7 +57,21 @@ def latest_captures(pages: DataFrame) -> DataFrame:
     return pages.join(winners, ["source_code", "url", "fetched_at", "page_id"], "left_semi")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when they come from fewer files than there are cores.
+
+    For work that costs far more per byte than reading. A table of many files, or one large
+    enough to be split while reading, passes unchanged: nothing big is shuffled for this.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = rows.inputFiles()
+    if not files or len(files) >= cores:
+        return rows
+    return rows.repartition(cores, key)
+
+
 def trees(pages: DataFrame, max_bytes: int = MAX_HTML_BYTES) -> DataFrame:
     """Pages with their element tree; pages over the limit never reach the parser."""
-    within = pages.filter(~too_large(F.col("html"), max_bytes))
+    within = spread(pages.filter(~too_large(F.col("html"), max_bytes)), "page_id")
     return within.select("source_code", "page_id", "url", parse_html(F.col("html")).alias("dom"))
