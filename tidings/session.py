@@ -15,6 +15,8 @@ def build_session(app: str = "tidings", **conf) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Spark 4.1 can plan a join over a union of unequal partition counts and then fail.
+        .config("spark.sql.unionOutputPartitioning", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
