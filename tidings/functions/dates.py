@@ -19,18 +19,32 @@ MONTHS = {
 UNKNOWN_MONTH = "01"
 
 
+def _with_match(text: Column, pattern: str, build) -> Column:
+    """``build`` of the first match, which is looked up once; null without a match.
+
+    ``build`` gets a function from group number to text; it searches the short match only.
+    """
+
+    def from_match(match: Column) -> Column:
+        return F.when(
+            match.isNotNull(), build(lambda group: F.regexp_extract(match, pattern, group))
+        )
+
+    return let(F.regexp_substr(text, F.lit(pattern)), from_match)
+
+
 def published_at(text: Column) -> Column:
     """Midnight UTC of the first date anywhere in the text; null if none or impossible."""
 
-    def part(group: int) -> Column:
-        return F.regexp_extract(text, PUBLISHED_PATTERN, group).try_cast("int")
+    def midnight(group) -> Column:
+        year, month, day = [group(g).cast("int") for g in (1, 2, 3)]
+        zero = F.lit(0)
+        made = F.try_make_timestamp(
+            year, month, day, zero, zero, zero.cast("decimal(8,6)"), F.lit("UTC")
+        )
+        return F.when(year >= 1, made)
 
-    year, month, day = part(1), part(2), part(3)
-    zero = F.lit(0)
-    return F.when(
-        year >= 1,
-        F.try_make_timestamp(year, month, day, zero, zero, zero.cast("decimal(8,6)"), F.lit("UTC")),
-    )
+    return _with_match(text, PUBLISHED_PATTERN, midnight)
 
 
 def _dotted(year: Column, month: Column, day: Column) -> Column:
@@ -50,8 +64,8 @@ def _dotted_parts(parts: Column, original: Column) -> Column:
 
 def date_year_first(text: Column) -> Column:
     """``2026년 2월 9일`` or ``2026-2-9 14:30`` to ``2026.02.09``; otherwise unchanged."""
-    groups = [F.regexp_extract(text, YEAR_FIRST_PATTERN, g) for g in (1, 2, 3)]
-    return F.when(text.rlike(YEAR_FIRST_PATTERN), _dotted(*groups)).otherwise(text)
+    dotted = _with_match(text, YEAR_FIRST_PATTERN, lambda g: _dotted(g(1), g(2), g(3)))
+    return F.coalesce(dotted, text)
 
 
 def date_from_parts(text: Column) -> Column:
@@ -68,14 +82,14 @@ def date_from_digit_runs(text: Column) -> Column:
 
 def date_month_name(text: Column) -> Column:
     """``Feb 9, 2026`` to ``2026.02.09``; unknown month names count as January."""
-    name, day, year = [F.regexp_extract(text, MONTH_NAME_PATTERN, g) for g in (1, 2, 3)]
     months = F.create_map(*[F.lit(part) for pair in MONTHS.items() for part in pair])
-    month = F.coalesce(
-        F.try_element_at(months, F.initcap(F.substring(name, 1, 3))), F.lit(UNKNOWN_MONTH)
-    )
-    return F.when(text.rlike(MONTH_NAME_PATTERN), _dotted(year, month, day)).otherwise(
-        date_year_first(text)
-    )
+
+    def dotted(group) -> Column:
+        name = F.initcap(F.substring(group(1), 1, 3))
+        month = F.coalesce(F.try_element_at(months, name), F.lit(UNKNOWN_MONTH))
+        return _dotted(group(3), month, group(2))
+
+    return F.coalesce(_with_match(text, MONTH_NAME_PATTERN, dotted), date_year_first(text))
 
 
 def iso_text(ts: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -24,9 +25,9 @@ _NODE_BREAK = "\u0001"
 # The attribute part is unrolled and possessive so that Java neither backtracks nor
 # recurses on long attribute values such as inline images.
 MARKUP_PATTERN = (
-    r"(?is)<!--.*?-->"
-    r"|<(script|style|template)\b[^>]*+>.*?(?:</\1\s*+>|\z)"
-    r"|</?[a-z!?][^'\">]*+(?:(?:\"[^\"]*+\"|'[^']*+')[^'\">]*+)*+>"
+    r"(?is)<(?:!--.*?-->"
+    r"|(script|style|template)\b[^>]*+>.*?(?:</\1\s*+>|\z)"
+    r"|/?[a-z!?][^'\">]*+(?:(?:\"[^\"]*+\"|'[^']*+')[^'\">]*+)*+>)"
 )
 
 _ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);?"
@@ -66,15 +67,14 @@ def is_digits(text: Column) -> Column:
 
 def zero_pad(digits: Column, width: int = 2) -> Column:
     """Left-pad with zeros; longer values stay as they are."""
-    return F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), "0")
 
 
 def _entity_to_text(entity: Column) -> Column:
     """Text of one entity as matched by ``_ENTITY``; unknown names keep ``&name``."""
     name = F.regexp_replace(entity, r"^&|;$", "")
-    named = F.create_map(
-        *[F.lit(part) for key, code in name2codepoint.items() for part in (key, chr(code))]
-    )
+    names = json.dumps({key: chr(code) for key, code in name2codepoint.items()})
+    named = F.from_json(F.lit(names), "map<string,string>")  # a constant, folded when planning
     number = F.when(
         name.rlike(r"^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10).cast("bigint")
     ).when(name.startswith("#"), F.substring(name, 2, 7).cast("bigint"))
@@ -113,9 +113,15 @@ def visible_text(html: Column, separator: str = "\n") -> Column:
     Stays in the JVM. Comments and the content of script, style and template elements do
     not count. Entities are decoded before stripping, so a no-break space is stripped too.
     """
-    broken = decode_entities(F.regexp_replace(html, MARKUP_PATTERN, _NODE_BREAK))
-    nodes = F.transform(F.split(broken, _NODE_BREAK), strip)
-    return F.array_join(F.filter(nodes, lambda node: node != ""), separator)
+    broken = F.when(
+        html.contains("<"), F.regexp_replace(html, MARKUP_PATTERN, _NODE_BREAK)
+    ).otherwise(html)
+
+    def joined(text: Column) -> Column:
+        nodes = F.transform(F.split(decode_entities(text), _NODE_BREAK), strip)
+        return F.array_join(F.filter(nodes, lambda node: node != ""), separator)
+
+    return let(broken, joined)
 
 
 def element_text(html: Column, tag: str) -> Column:

@@ -16,7 +16,15 @@ from tidings.operators.details import (
 )
 from tidings.operators.links import anchor_links, extract_links
 from tidings.plans import boards
-from tidings.plans.catalog import query, sql_content_hash, sql_decode, sql_strip, sql_visible, table
+from tidings.plans.catalog import (
+    query,
+    spread_table,
+    sql_content_hash,
+    sql_decode,
+    sql_strip,
+    sql_visible,
+    table,
+)
 from tidings.plans.crawl import links_of, notices_of, posts_of
 from tidings.plans.sites import NO_DATE, NO_TITLE, SITES, Site
 from tidings.session import staged
@@ -174,7 +182,7 @@ _SQL_BOARD = f"""
 )
 def board_links(spark, sf):
     """List rules of all seven sources on list pages rendered from documents."""
-    pages = boards.list_pages(table(spark, sf, "documents"))
+    pages = boards.list_pages(spread_table(spark, sf, "documents", "doc_id"))
     return extract_links(trees(pages), SITES)
 
 
@@ -219,7 +227,7 @@ _SQL_DETAIL = f"""
 )
 def board_details(spark, sf):
     """Title, date and body rules of all seven sources on pages rendered from documents."""
-    details = extract_details(trees(boards.detail_pages(table(spark, sf, "documents"))), SITES)
+    details = extract_details(trees(boards.detail_pages(spread_table(spark, sf, "documents", "doc_id"))), SITES)
     return details.select(
         "page_id",
         "source_code",
@@ -253,7 +261,7 @@ def board_details(spark, sf):
 )
 def board_images(spark, sf):
     """Image rules: icons skipped, repeated addresses once, inline images, names."""
-    details = extract_details(trees(boards.detail_pages(table(spark, sf, "documents"))), SITES)
+    details = extract_details(trees(boards.detail_pages(spread_table(spark, sf, "documents", "doc_id"))), SITES)
     return details.select(
         "page_id", "source_code", F.posexplode("images").alias("pos", "image")
     ).select("page_id", "source_code", "pos", "image.*")
@@ -270,7 +278,7 @@ def board_images(spark, sf):
 )
 def board_attachments(spark, sf):
     """Attachment rules: download links only, every name once, size suffix removed."""
-    details = extract_details(trees(boards.detail_pages(table(spark, sf, "documents"))), SITES)
+    details = extract_details(trees(boards.detail_pages(spread_table(spark, sf, "documents", "doc_id"))), SITES)
     names = details.select("page_id", "source_code", F.explode("attachment_names").alias("n"))
     return names.select(
         "page_id",
@@ -300,7 +308,7 @@ _SQL_POSTS = f"""
 
 def _crawled(spark, sf):
     """Posts and links without page, from list pages and post pages of all documents."""
-    documents = table(spark, sf, "documents")
+    documents = spread_table(spark, sf, "documents", "doc_id")
     links = staged(links_of(boards.list_pages(documents), SITES))
     return posts_of(links, boards.post_pages(documents), SITES)
 

@@ -19,7 +19,7 @@ from tidings.operators.upsert import (
     upsert_notices,
     upsert_users,
 )
-from tidings.plans.catalog import query, sql_content_hash, table
+from tidings.plans.catalog import query, spread_table, sql_content_hash, table
 from tidings.schema import LENGTH_LIMITS, NOTICES
 
 BATCH_TS = "2024-06-01 00:00:00"
@@ -57,7 +57,7 @@ def _posts(spark, sf):
         .when(doc % 11 == 3, PLACEHOLDER_TITLES[1])
         .otherwise(F.concat(F.lit("Notice "), doc))
     )
-    return table(spark, sf, "documents").select(
+    return spread_table(spark, sf, "documents", "doc_id").select(
         "doc_id",
         F.col("source").alias("source_code"),
         F.lit("").alias("no"),
@@ -206,7 +206,7 @@ def _stored(spark, sf):
     labels = table(spark, sf, "labels").select("doc_id")
     lang = F.col("lang")
     stamp = F.lit(STORED_TS).cast("timestamp")
-    rows = table(spark, sf, "documents").join(labels, "doc_id", "left_semi").select(
+    rows = spread_table(spark, sf, "documents", "doc_id").join(labels, "doc_id", "left_semi").select(
         *_record(F.col("doc_id"), F.col("text"), "https://n.example.org/"),
         F.when(lang == "en", F.array(F.lit("tag"))).alias("hashtags"),
         (F.col("source") < "src15").alias("is_manual_edited"),
@@ -229,7 +229,7 @@ def _batch(spark, sf):
     html = F.when(F.col("n_chars") % 3 == 0, F.concat("text", F.lit(" changed"))).otherwise(
         F.col("text")
     )
-    rows = table(spark, sf, "documents").filter(F.col("lang") != "es")
+    rows = spread_table(spark, sf, "documents", "doc_id").filter(F.col("lang") != "es")
     return rows.select(
         *_record(F.col("doc_id"), html, "https://n.example.org/new/"),
         F.array().cast("array<struct<type:string,data:string,ext:string,name:string>>").alias("images"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidings.functions import dates, text, urls
 from tidings.plans.catalog import (
     query,
+    spread_table,
     sql_content_hash,
     sql_decode,
     sql_external_id,
@@ -119,7 +120,7 @@ def image_address(spark, sf):
 )
 def content_hash(spark, sf):
     title = F.concat(F.lit("doc "), F.col("doc_id").cast("string"))
-    return table(spark, sf, "documents").select(
+    return spread_table(spark, sf, "documents", "doc_id").select(
         "doc_id", text.content_hash(title, F.col("text")).alias("content_hash")
     )
 
@@ -132,7 +133,7 @@ def content_hash(spark, sf):
 def page_text(spark, sf):
     visible = text.visible_text(F.col("html"))
     return (
-        table(spark, sf, "pages")
+        spread_table(spark, sf, "pages", "page_id")
         .select("page_id", visible.alias("visible"))
         .select("page_id", F.sha2("visible", 256).alias("text_hash"), F.length("visible").cast("bigint").alias("n_chars"))
     )
@@ -156,7 +157,7 @@ def page_title(spark, sf):
     title = text.first_filled(
         text.element_text(html, "h1"), text.element_text(html, "title"), F.lit(NO_TITLE)
     )
-    return table(spark, sf, "pages").select("page_id", title.alias("title"))
+    return spread_table(spark, sf, "pages", "page_id").select("page_id", title.alias("title"))
 
 
 @query(
@@ -169,7 +170,7 @@ def page_title(spark, sf):
 )
 def page_clean(spark, sf):
     """Pages without script, style, noscript, iframe and images."""
-    return table(spark, sf, "pages").select(
+    return spread_table(spark, sf, "pages", "page_id").select(
         "page_id", F.sha2(text.clean_html(F.col("html")), 256).alias("clean_hash")
     )
 
@@ -202,7 +203,7 @@ def entities(spark, sf):
     rare = F.concat(
         F.lit("&#44032; &amp; &eacute; &#x"), F.hex(F.col("page_id") % 90 + 33), F.lit("; &unknown; x")
     )
-    return table(spark, sf, "pages").select(
+    return spread_table(spark, sf, "pages", "page_id").select(
         "page_id",
         F.md5(text.decode_entities(F.col("html"))).alias("decoded"),
         text.decode_entities(rare).alias("rare"),
@@ -238,7 +239,7 @@ def published_at(spark, sf):
         .otherwise(F.date_format(d, "yyyy-'13'-d"))
     )
     parsed = dates.published_at(rendered)
-    return table(spark, sf, "orders").select(
+    return spread_table(spark, sf, "orders", "o_orderkey").select(
         "o_orderkey", F.date_format(parsed, "yyyy-MM-dd HH:mm:ss").alias("published_at")
     )
 
@@ -270,7 +271,7 @@ def date_normalize(spark, sf):
     english = F.concat(
         F.get(months, F.month(d) - 1), F.date_format(d, " d, yyyy"), F.lit(" Views: 3")
     )
-    return table(spark, sf, "orders").select(
+    return spread_table(spark, sf, "orders", "o_orderkey").select(
         "o_orderkey",
         dates.date_year_first(korean).alias("year_first"),
         dates.date_from_parts(two_digit).alias("from_parts"),
