@@ -4,14 +4,16 @@ import re
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from tests.conftest import SF_SMALL
+from tidings.functions import dates, text, urls
+from tidings.operators.upsert import upsert_notices
 from tidings.plans import boards
 from tidings.plans.catalog import QUERIES, table
 from tidings.plans.crawl import links_of, posts_of
 from tidings.plans.queries_tables import _batch, _stored
 from tidings.plans.sites import SITES
-from tidings.operators.upsert import upsert_notices
-from __spark_entry__ import queries
+from tidings.sources.pages import spread
 
 
 def plan_of(frame) -> str:
@@ -46,16 +48,30 @@ def test_checks_read_only_their_columns(spark):
     assert re.search(r"ReadSchema: struct<l_orderkey:bigint,l_linenumber:int>", plan)
 
 
-def test_expression_queries_need_no_python_and_no_shuffle(spark):
-    for name in ("external_id", "url_normalized", "content_hash", "published_at", "date_normalize"):
-        plan = plan_of(run(spark, name))
-        assert "Python" not in plan and "Exchange" not in plan, name
+def test_expressions_need_no_python_and_no_shuffle(spark):
+    pages = table(spark, SF_SMALL, "pages")
+    url, html = F.col("url"), F.col("html")
+    columns = [
+        urls.external_id(url), urls.url_normalized(url), urls.resolve_url(url, html),
+        text.visible_text(html), text.content_hash(url, html), text.clean_html(html),
+        dates.published_at(url), dates.date_month_name(url), dates.date_from_parts(url),
+    ]
+    plan = plan_of(pages.select(*columns))
+    assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_only_lone_files_are_spread(spark, tmp_path):
+    pages = table(spark, SF_SMALL, "pages")
+    assert plan_of(spread(pages, "page_id")).count("REPARTITION_BY_NUM") == 1
+    many = str(tmp_path / "many")
+    pages.repartition(16).write.parquet(many)
+    assert "Exchange" not in plan_of(spread(spark.read.parquet(many), "page_id"))
 
 
 def test_parser_runs_once_and_after_the_page_filter(spark):
     documents = table(spark, SF_SMALL, "documents")
     links = links_of(boards.list_pages(documents), SITES)
-    assert plan_of(links).count("ArrowEvalPython (") == 1 or "ArrowEvalPython" in plan_of(links)
+    assert "ArrowEvalPython" in plan_of(links)
     narrow = spark.createDataFrame([], links.schema)
     posts, _ = posts_of(narrow, boards.post_pages(documents), SITES)
     filtered = posts.filter(F.col("title") != "")
@@ -67,3 +83,10 @@ def test_upsert_has_no_full_outer_join_and_no_cross_join(spark):
     plan = plan_of(upsert_notices(_stored(spark, SF_SMALL), _batch(spark, SF_SMALL), "2024-06-01"))
     assert "FullOuter" not in plan and "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan and "LeftAnti" in plan
+
+
+def test_only_fresh_rows_are_rebalanced(spark):
+    stored, batch = _stored(spark, SF_SMALL), _batch(spark, SF_SMALL)
+    merged = upsert_notices(stored, batch, "2024-06-01", layout=("source_code",))
+    plan = plan_of(merged)
+    assert plan.count("REBALANCE_PARTITIONS_BY_COL") == 1
