@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tidings.functions.dates import iso_text
 from tidings.functions.text import error_text
-from tidings.schema import RUNS
+from tidings.schema import RUNS, conform
 
 # States of a run and limits of the report.
 RUNNING, SUCCESS, FAILED = "running", "success", "failed"
@@ -27,7 +26,7 @@ def started_run(spark: SparkSession, source_id: int, task_id: str, started_at) -
         F.lit(0).alias("notices_upserted"),
         F.lit(None).alias("error_message"),
     )
-    return row.select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(RUNS)])
+    return conform(row, RUNS)
 
 
 def update_runs(

@@ -20,7 +20,7 @@ from tidings.operators.upsert import (
     upsert_users,
 )
 from tidings.plans.catalog import query, spread_table, sql_content_hash, table
-from tidings.schema import LENGTH_LIMITS, NOTICES
+from tidings.schema import LENGTH_LIMITS, NOTICES, conform
 
 BATCH_TS = "2024-06-01 00:00:00"
 STORED_TS = "2024-01-01 00:00:00"
@@ -215,13 +215,7 @@ def _stored(spark, sf):
         lang.alias("_lang"),
     )
     hashed = F.when(F.col("_lang") != "de", F.col("content_hash"))
-    return _as_notices(spark, rows.withColumn("content_hash", hashed).drop("_lang"))
-
-
-def _as_notices(spark, rows):
-    """Bring rows to the notice schema, missing columns as null."""
-    empty = spark.createDataFrame([], NOTICES)
-    return empty.unionByName(rows, allowMissingColumns=True)
+    return conform(rows.withColumn("content_hash", hashed), NOTICES)
 
 
 def _batch(spark, sf):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
 IMAGES = "array<struct<type:string,data:string,ext:string,name:string>>"
 ATTACHMENTS = "array<struct<name:string>>"
 
@@ -45,3 +49,13 @@ KEPT_COLUMNS = (
 
 # Stored lengths.
 LENGTH_LIMITS = {"external_id": 512, "title": 512, "url": 2048}
+
+
+def conform(rows: DataFrame, ddl: str) -> DataFrame:
+    """Project rows to a schema: columns in its order and types, missing ones as null."""
+    return rows.select(
+        *[
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in StructType.fromDDL(ddl)
+        ]
+    )
