@@ -27,6 +27,7 @@ from tidings.plans.catalog import (
 )
 from tidings.plans.crawl import links_of, notices_of, posts_of
 from tidings.plans.sites import NO_DATE, NO_TITLE, SITES, Site
+from tidings.schema import LENGTH_LIMITS
 from tidings.session import staged
 from tidings.sources.pages import trees
 
@@ -301,7 +302,9 @@ _SQL_POSTS = f"""
     judged AS (
       SELECT *, CASE WHEN length(line) > {boards.LONGEST_CAPTURED} THEN 'no_page'
                      WHEN post_title = '' THEN 'empty_title'
-                     WHEN post_title = '{boards.PLACEHOLDER}' THEN 'placeholder' END AS reason
+                     WHEN post_title = '{boards.PLACEHOLDER}' THEN 'placeholder'
+                     WHEN length(post_title) > {LENGTH_LIMITS['title']} THEN 'max_length(title)'
+                END AS reason
       FROM posts)
 """
 

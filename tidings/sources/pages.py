@@ -50,11 +50,12 @@ def latest_captures(pages: DataFrame) -> DataFrame:
     The winner is found on narrow columns by an aggregate that combines before the shuffle;
     the pages themselves are then filtered by a semi join.
     """
-    newest = pages.groupBy("source_code", "url").agg(
-        F.max(F.struct("fetched_at", "page_id")).alias("m")
-    )
-    winners = newest.select("source_code", "url", "m.fetched_at", "m.page_id")
-    return pages.join(winners, ["source_code", "url", "fetched_at", "page_id"], "left_semi")
+    at = F.coalesce("fetched_at", F.lit("0001-01-01").cast("timestamp"))
+    dated = pages.withColumn("_at", at)
+    newest = dated.groupBy("source_code", "url").agg(F.max(F.struct("_at", "page_id")).alias("m"))
+    winners = newest.select("source_code", "url", "m._at", "m.page_id")
+    keys = ["source_code", "url", "_at", "page_id"]
+    return dated.join(winners, keys, "left_semi").drop("_at")
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
