@@ -349,14 +349,14 @@ def _bordered(entry: Column) -> Column:
     return F.when(plain, F.map_concat(others, border)).otherwise(entry["attrs"])
 
 
-def _is_void(entry: Column) -> Column:
+def is_void(entry: Column) -> Column:
     """Whether the entry's element is one that never has content."""
     return F.array_contains(F.split(F.lit(" ".join(sorted(VOID_TAGS))), " "), entry["tag"])
 
 
 def _opening(entry: Column, attrs: Column) -> Column:
     pairs = F.array_sort(F.map_entries(attrs))
-    end = F.when(_is_void(entry), F.lit("/>")).otherwise(F.lit(">"))
+    end = F.when(is_void(entry), F.lit("/>")).otherwise(F.lit(">"))
     return F.concat(
         F.lit("<"), entry["tag"], F.array_join(F.transform(pairs, _attribute), ""), end
     )
@@ -365,7 +365,7 @@ def _opening(entry: Column, attrs: Column) -> Column:
 def markup(entry: Column, bordered: Column) -> Column:
     """HTML of one entry; ``bordered`` tells whether a table gets a border."""
     attrs = F.when((entry["tag"] == "table") & bordered, _bordered(entry)).otherwise(entry["attrs"])
-    closing = F.when(_is_void(entry), F.lit("")).otherwise(
+    closing = F.when(is_void(entry), F.lit("")).otherwise(
         F.concat(F.lit("</"), entry["tag"], F.lit(">"))
     )
     return (

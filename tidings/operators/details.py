@@ -27,6 +27,7 @@ from tidings.functions.dom import (
     has_id,
     inside,
     is_element,
+    is_void,
     labelled_value,
     next_sibling,
     outside_all,
@@ -368,13 +369,19 @@ def write_body(region: Column, rule: Column) -> Column:
         )
         return collapse_blank_lines(cut)
 
-    def goes(e: Column) -> Column:
-        return F.array_contains(rule["dropped_tags"], e["tag"]) | (
-            (rule["dropped_id"] != "") & (F.coalesce(attr(e, "id"), F.lit("")) == rule["dropped_id"])
-        )
+    def dropped(name: Column) -> Column:
+        return F.coalesce(F.array_contains(rule["dropped_tags"], name), F.lit(False))
 
     def as_html(r: Column) -> Column:
-        return to_html(outside_all(r["entries"], find_all(r["entries"], goes)))
+        # Entries of a dropped tag go by their own tag, and content that is never shown goes
+        # by its zone: one pass. Only other elements with content are cut as intervals.
+        left = F.filter(r["entries"], lambda e: ~dropped(e["tag"]) & ~dropped(e["zone"]))
+        by_tag = find_all(
+            r["entries"],
+            lambda e: (dropped(e["tag"]) & ~is_void(e) & ~e["zone"].eqNullSafe(e["tag"]))
+            | ((rule["dropped_id"] != "") & F.coalesce(attr(e, "id") == rule["dropped_id"], F.lit(False))),
+        )
+        return to_html(outside_all(left, by_tag))
 
     return let(
         region,
