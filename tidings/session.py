@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,15 +25,17 @@ def build_session(app: str = "tidings", **conf) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A temporary folder is used only where that setting is absent and Spark runs in one
-    process, as in tests.
+    Where that setting is absent and Spark runs in one process, as in tests, a folder beside
+    the warehouse takes its place and is set as such for the session.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="tidings-")
+    beside = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-shared"
+    spark.conf.set("spark.checkpoint.dir", beside)
+    return beside
 
 
 def staged(rows: DataFrame, path: str | None = None) -> DataFrame:
