@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,16 +57,12 @@ def in_arrow(rows: DataFrame, work: Callable, schema: str) -> DataFrame:
             if batch.num_rows:
                 yield record_batch(work(batch), target)
 
-    target = arrow_schema(rows.sparkSession, schema)
+    target = arrow_schema(schema)
     return rows.mapInArrow(run, schema)
 
 
-def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema), timezone="UTC")
+def arrow_schema(schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema))
 
 
 def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:

@@ -81,7 +81,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int = 2, capacity: int = CAPACIT
     powers of two, so none needs padding. Sequence ids carry the number of the input partition;
     the same files, split alike, always give the same sequences.
     """
-    schema = arrow_schema(docs.sparkSession, PIECES)
+    schema = arrow_schema(PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 33

@@ -2,7 +2,9 @@
 
 from tidings.llm import (  # noqa: F401
     merge_replay,
+    nb_svm,
     packing,
+    quality_rules,
     token_files,
 )
 from tidings.llm.catalog import ORACLES, QUERIES  # noqa: F401

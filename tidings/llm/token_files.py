@@ -54,7 +54,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end: int = 2) ->
     name of its attempt and then moved, so a repeated task replaces whole files only.
     """
     spark = docs.sparkSession
-    schema = arrow_schema(spark, MANIFEST)
+    schema = arrow_schema(MANIFEST)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +122,7 @@ def read_checksums(manifest: DataFrame, folder: str, batch_tokens: int = 4 << 20
 
 
 def _read(manifest, folder, rows, shown, batch_tokens):
-    schema = arrow_schema(manifest.sparkSession, rows)
+    schema = arrow_schema(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = opened(folder)
