@@ -1,10 +1,13 @@
 """All registered queries of the package: importing this module registers them."""
 
 from tidings.llm import (  # noqa: F401
+    jaccard_join,
     merge_replay,
     nb_svm,
     packing,
+    personal_data,
     quality_rules,
+    sharding,
     token_files,
 )
 from tidings.llm.catalog import ORACLES, QUERIES  # noqa: F401
