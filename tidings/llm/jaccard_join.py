@@ -9,7 +9,6 @@ of which is a group of its own; pairs never become rows.
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -124,18 +123,25 @@ def block_links(group: pa.Table, threshold: float, width: int, least: list[int])
     return links.columns()
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the digest that tells texts apart; null is the empty text."""
+    text = F.coalesce("text", F.lit(""))
+    return narrow(docs, "doc_id", "text").select(
+        "doc_id", F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text")
+    )
+
+
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, key of the text, and its signature (null without a word)."""
+    """doc_id, key and signature of every text (null without a word)."""
 
     def work(batch):
-        keys, sigs = [], []
+        sigs = []
         for raw in raw_texts(batch):
-            keys.append(hashlib.blake2b(raw, digest_size=16).digest())
             found = shingles(raw, width)
             sigs.append(signature(found).astype("<u4").tobytes() if len(found) else None)
-        return {"doc_id": batch.column(0), "key": keys, "sig": sigs}
+        return {"doc_id": batch.column(0), "key": batch.column(1), "sig": sigs}
 
-    return in_arrow(narrow(docs, "doc_id", "text"), work, "doc_id bigint, key binary, sig binary")
+    return in_arrow(keyed(docs), work, "doc_id bigint, key binary, sig binary")
 
 
 def banded(representatives: DataFrame) -> DataFrame:
@@ -188,24 +194,24 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -
     similarity reaches the threshold, equal texts included; ``n_text_links``, the different texts
     among those; ``copy_of``, the least doc_id with the same text; ``kept``, whether doc_id is its
     class_id. Null text is the empty text. A text of fewer than ``width`` words is one shingle; one
-    without a word links with its equals only. Rows without doc_id link with nothing and are kept;
-    rows that repeat an id count as documents. An empty table gives no rows.
+    without a word links with its equals only. Rows without doc_id link with nothing and are kept.
+    Of several texts under one id one is compared, the others link with equal texts only; repeated
+    rows give repeated rows and count once. An empty table gives no rows.
     """
     least = least_matches(threshold, TOLERANCE)
     rows = staged(signed(docs, width))
-    named = rows.filter("doc_id IS NOT NULL")
-    copies = named.groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies")
-    )
-    sigs = named.select(F.col("doc_id").alias("rep"), "key", "sig").dropDuplicates(["rep", "key"])
-    reps = staged(copies.join(sigs, ["rep", "key"]))
+    one = rows.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("rep"))
+    one = one.agg(F.min(F.struct("key", "sig")).alias("least")).select("rep", "least.*")
+    copies = one.groupBy("key").agg(F.min("rep").alias("rep"), F.count("*").alias("copies"))
+    reps = staged(copies.join(one.drop("key"), "rep"))
     bands = banded(reps)
     members = shared_buckets(bands).join(bands.select("bucket", "rep"), "bucket")
-    known = reps.select("rep", "key", "copies", "sig").filter("sig IS NOT NULL")
-    candidates_ = members.join(known, "rep")
-    # An id may stand before several texts; the key says which of them was signed.
-    text = narrow(docs, "doc_id", "text").select(F.col("doc_id").alias("rep"), "text")
-    groups = block_groups(candidates_.join(text, "rep"))
+    members = staged(members.join(reps.select("rep", "key", "copies", "sig"), "rep"))
+    # Only the texts that share a bucket travel on, each once.
+    wanted = members.select(F.col("rep").alias("doc_id"), "key").distinct()
+    texts = keyed(docs).join(wanted, ["doc_id", "key"], "left_semi")
+    texts = texts.groupBy(F.col("doc_id").alias("rep")).agg(F.first("text").alias("text"))
+    groups = block_groups(members.join(texts, "rep"))
 
     schema = arrow_schema(COLUMNS)
 
@@ -225,15 +231,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -
     )
     out = rows.select("doc_id", "key").join(table_, "key", "left")
     known_id = F.col("doc_id").isNotNull()
-    class_id = F.when(known_id, F.coalesce("component", "rep"))
+    class_id = F.when(known_id, F.coalesce("component", "rep", "doc_id"))
     return out.select(
         "doc_id",
         class_id.alias("class_id"),
-        F.when(known_id, F.coalesce("linked", F.lit(0)) + F.col("copies") - 1)
+        F.when(known_id, F.coalesce("linked", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1)
         .otherwise(0)
         .alias("n_links"),
         F.when(known_id, F.coalesce("links", F.lit(0))).otherwise(0).alias("n_text_links"),
-        F.when(known_id, F.col("rep")).alias("copy_of"),
+        F.when(known_id, F.coalesce("rep", "doc_id")).alias("copy_of"),
         F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"),
     )
 

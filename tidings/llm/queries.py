@@ -1,6 +1,8 @@
 """All registered queries of the package: importing this module registers them."""
 
 from tidings.llm import (  # noqa: F401
+    chunk_dedup,
+    grid_join,
     jaccard_join,
     merge_replay,
     nb_svm,
