@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from unicodedata import normalize
 
 import numpy as np
 
@@ -22,6 +23,11 @@ JOINED = 200
 MARKS = ".,;:!?&%$#*|)"
 
 
+def letters(word: str) -> bool:
+    """Whether the library sees nothing but letters in a word, once it is normalised."""
+    return word.isalpha() and (word.isascii() or normalize("NFC", word).lower().isalpha())
+
+
 class Numbers(dict):
     """Numbers words in the order of their first lookup; ``fresh`` are those not yet learned."""
 
@@ -77,7 +83,7 @@ class WordEncoder:
         """Ids of new words: of letters, and of the marks after them, each met once."""
         fresh, self.numbers.fresh = self.numbers.fresh, []
         stems = [w.rstrip(MARKS) for w in fresh]
-        self._learn_stems(list({s for s in stems if s.isalpha()}.difference(self.stems)))
+        self._learn_stems([s for s in set(stems).difference(self.stems) if letters(s)])
         others = {w if s not in self.stems else w[len(s) :] for w, s in zip(fresh, stems)}
         alone = dict(zip(others, self._alone(list(others))))
         known = [
