@@ -16,7 +16,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 #: Rows of one Arrow batch: bounds what a Python task holds when documents are very long.
-BATCH_ROWS = 1000
+BATCH_ROWS = 400
 
 
 def prepared(spark: SparkSession) -> SparkSession:

@@ -16,7 +16,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words kept by a task; beyond it the memory is emptied, which costs time but changes no id.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 350_000
 #: Words handed to the library as one string.
 JOINED = 200
 #: Characters that the vocabulary's own splitting always parts from letters before them.
