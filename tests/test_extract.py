@@ -315,3 +315,19 @@ def test_charset_of_each_source(spark):
         "source_code string, content binary",
     )
     assert [r.html for r in decoded(raw, SITES).collect()] == ["공지", "공지", "�A"]
+
+
+def test_tree_builder_is_linear_in_void_tags():
+    import time
+
+    from tidings.functions import dom
+
+    def seconds(n):
+        start = time.process_time()
+        entries = dom._Entries()
+        dom._TreeBuilder(entries).build("<p>x<br>y</p>" * n)
+        return time.process_time() - start
+
+    seconds(1000)
+    small = seconds(20_000)
+    assert seconds(80_000) < 8 * small

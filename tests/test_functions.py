@@ -214,3 +214,10 @@ def test_decoding(apply):
     assert apply(decode_cp949, raw, "v binary")[0] == "공지"
     assert apply(decode_cp949, raw, "v binary")[1] == b"\xff\xfe\x41".decode("cp949", "replace")
     assert apply(decode_utf8, ["공지".encode(), b"A\xff", None], "v binary") == ["공지", "A�", None]
+
+
+def test_dates_with_unicode_spaces_and_digits(apply):
+    from tidings.functions.dates import date_month_name, date_year_first
+
+    assert apply(date_year_first, ["2026년\xa02월\xa09일", "2026-2-9"]) == ["2026.02.09", "2026.02.09"]
+    assert apply(date_month_name, ["Feb\xa09,\xa02026", "Mar 10, 2026"]) == ["2026.02.09", "2026.03.10"]

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tidings.functions.text import is_digits, let, strip, zero_pad
 
-# Date patterns and month names.
+# Date patterns and month names. Digits and spaces are those of Unicode, (?U).
 PUBLISHED_PATTERN = r"([0-9]{4})[.-]([0-9]{1,2})[.-]([0-9]{1,2})"
-YEAR_FIRST_PATTERN = r"([0-9]{4})[-./년]\s*([0-9]{1,2})[-./월]\s*([0-9]{1,2})"
-MONTH_NAME_PATTERN = r"([A-Za-z]+)\s+([0-9]{1,2}),\s+([0-9]{4})"
+YEAR_FIRST_PATTERN = r"(?U)(\d{4})[-./년]\s*(\d{1,2})[-./월]\s*(\d{1,2})"
+MONTH_NAME_PATTERN = r"(?U)([A-Za-z]+)\s+(\d{1,2}),\s+(\d{4})"
 DATE_MARKS = "년월일/-"
 MONTHS = {
     "Jan": "01", "Feb": "02", "Mar": "03", "Apr": "04", "May": "05", "Jun": "06",

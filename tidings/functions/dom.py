@@ -89,7 +89,7 @@ class _TreeBuilder(HTMLParser):
         self.open_tags = Counter()
         self.data = []
         self.ink = 0
-        self.just_closed = []
+        self.just_closed = Counter()
 
     def _add(self, kind, tag=None, peer=None, ink=0, text=None):
         out, base = self.out, self.base
@@ -156,7 +156,7 @@ class _TreeBuilder(HTMLParser):
         self._start(tag, attrs)
         if tag in VOID_TAGS:
             self._close(tag)
-            self.just_closed.append(tag)
+            self.just_closed[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self._start(tag, attrs)
@@ -164,8 +164,8 @@ class _TreeBuilder(HTMLParser):
 
     def handle_endtag(self, tag):
         self._flush()
-        if tag in self.just_closed:
-            self.just_closed.remove(tag)
+        if self.just_closed[tag]:
+            self.just_closed[tag] -= 1
         else:
             self._close(tag)
 

@@ -33,10 +33,11 @@ def delete_range(
     ``references`` holds the key of rows other tables point to.
     """
     hit = F.col(source_column) == F.lit(source)
+    kind = rows.schema[time_column].dataType  # bounds are read as what the column holds
     if before is not None:
-        hit = hit & (F.col(time_column) < F.lit(before).cast("timestamp_ntz"))
+        hit = hit & (F.col(time_column) < F.lit(before).cast(kind))
     if after is not None:
-        hit = hit & (F.col(time_column) > F.lit(after).cast("timestamp_ntz"))
+        hit = hit & (F.col(time_column) > F.lit(after).cast(kind))
     hit = F.coalesce(hit, F.lit(False))
     chosen = rows.filter(hit)
     kept = rows.filter(~hit)

@@ -44,8 +44,22 @@ def update_runs(
     touched = runs.join(updates.select(key), key, "left_semi")
     latest = touched.groupBy(key).agg(F.max(order).alias(order))
     renamed = updates.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
-    applied = latest.join(renamed, key)
-    joined = runs.join(applied, [key, order], "left")
+    return _applied(runs, latest.join(renamed, key), [key, order], columns)
+
+
+def update_attempts(
+    runs: DataFrame,
+    updates: DataFrame,
+    keys=("task_id", "started_at"),
+    columns=("finished_at", "status", "notices_upserted", "error_message"),
+) -> DataFrame:
+    """Apply one update per attempt to that attempt; null values of an update change nothing."""
+    renamed = updates.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns])
+    return _applied(runs, renamed, list(keys), columns)
+
+
+def _applied(runs: DataFrame, renamed: DataFrame, keys: list[str], columns) -> DataFrame:
+    joined = runs.join(renamed, keys, "left")
 
     def value(c: str):
         new = F.col(f"_{c}")

@@ -8,7 +8,13 @@ from tidings.functions.text import content_hash, name_structs
 from tidings.operators import evolve, integrity, lookup
 from tidings.operators.dedup import first_seen
 from tidings.operators.delete import delete_range
-from tidings.operators.payload import PLACEHOLDER_TITLES, build_payload, judged, rejects
+from tidings.operators.payload import (
+    MAX_HTML_BYTES,
+    PLACEHOLDER_TITLES,
+    build_payload,
+    judged,
+    rejects,
+)
 from tidings.operators.runs import recent_runs, update_runs
 from tidings.operators.sources import seed_missing, split_unknown
 from tidings.operators.upsert import (
@@ -24,7 +30,7 @@ from tidings.schema import LENGTH_LIMITS, NOTICES, conform
 
 BATCH_TS = "2024-06-01 00:00:00"
 STORED_TS = "2024-01-01 00:00:00"
-SIZE_LIMIT = 4000  # bytes; scaled down so that the given documents reach it
+OVERSIZE = MAX_HTML_BYTES + 1  # what is put before the text of some documents
 
 # --- records: accept, reject ---------------------------------------------------------------
 
@@ -35,12 +41,13 @@ _SQL_POSTS = f"""
              WHEN doc_id % 11 = 2 THEN ' {PLACEHOLDER_TITLES[0]} '
              WHEN doc_id % 11 = 3 THEN '{PLACEHOLDER_TITLES[1]}'
              ELSE 'Notice ' || doc_id END AS title,
-        'https://n.example.org/view?idx=' || doc_id AS url, text AS html,
+        'https://n.example.org/view?idx=' || doc_id AS url, 
+        CASE WHEN doc_id % 199 = 5 THEN repeat('x', {OVERSIZE}) || text ELSE text END AS html,
         '2024.' || (doc_id % 14) || '.' || (doc_id % 28 + 1) AS date_str
       FROM documents),
     judged AS (
       SELECT *, CASE WHEN title = '' THEN 'empty_title'
-                     WHEN strlen(html) > {SIZE_LIMIT} THEN 'too_large'
+                     WHEN strlen(html) > {MAX_HTML_BYTES} THEN 'too_large'
                      WHEN trim(title) IN ('', '{PLACEHOLDER_TITLES[0]}', '{PLACEHOLDER_TITLES[1]}')
                        THEN 'placeholder' END AS reason
       FROM posts)
@@ -64,7 +71,9 @@ def _posts(spark, sf):
         F.concat(F.lit("https://n.example.org/view?idx="), doc).alias("url"),
         title.alias("title"),
         F.concat(F.lit("2024."), doc % 14, F.lit("."), doc % 28 + 1).alias("date_str"),
-        F.col("text").alias("html"),
+        F.when(doc % 199 == 5, F.concat(F.repeat(F.lit("x"), OVERSIZE), "text"))
+        .otherwise(F.col("text"))
+        .alias("html"),
         F.lit(None).cast("array<struct<type:string,data:string,ext:string,name:string>>").alias("images"),
         F.array(F.lit("a.pdf")).alias("attachment_names"),
     )
@@ -83,7 +92,7 @@ def _posts(spark, sf):
     """,
 )
 def payload_accept(spark, sf):
-    records = build_payload(judged(_posts(spark, sf), SIZE_LIMIT))
+    records = build_payload(judged(_posts(spark, sf)))
     return records.select(
         "source_code",
         "external_id",
@@ -101,7 +110,7 @@ def payload_accept(spark, sf):
     "FROM judged WHERE reason IS NOT NULL",
 )
 def payload_reject(spark, sf):
-    return rejects(judged(_posts(spark, sf), SIZE_LIMIT))
+    return rejects(judged(_posts(spark, sf)))
 
 
 # --- de-duplication ------------------------------------------------------------------------

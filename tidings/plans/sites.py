@@ -19,6 +19,7 @@ from tidings.functions.urls import key_from_query
 from tidings.operators import details as d
 from tidings.operators import links as k
 from tidings.operators.details import BodyRule, ImageRule
+from tidings.operators.payload import MAX_HTML_BYTES
 
 # Texts that stand for a missing title, date or body.
 NO_TITLE = "제목 없음"
@@ -30,12 +31,12 @@ NO_BODY_BUSINESS = "(본문 BoardContent를 찾을 수 없습니다)"
 NO_BODY_MEDICINE = "(본문 영역 .fr-view를 찾을 수 없습니다)"
 
 # Patterns and word lists of the site rules.
-ISO_DATE = r"[0-9]{4}[.-][0-9]{2}[.-][0-9]{2}"
-SPACED_DATE = r"[0-9]{2,4}\s*[.-]\s*[0-9]{1,2}\s*[.-]\s*[0-9]{1,2}"
-HEADER_DATE = r"[0-9]{4}[.-]\s*[0-9]{1,2}[.-]\s*[0-9]{1,2}"
-REGISTERED_DATE = r"등록일\s*:\s*([0-9.-]+)"
-ENGLISH_DATE = r"[A-Za-z]+\s+[0-9]{1,2},\s+[0-9]{4}"
-SIZE_SUFFIX = r"(?i)\([0-9.,]+\s*(KB|MB|GB|Bytes?)\)"
+ISO_DATE = r"(?U)\d{4}[.-]\d{2}[.-]\d{2}"
+SPACED_DATE = r"(?U)\d{2,4}\s*[.-]\s*\d{1,2}\s*[.-]\s*\d{1,2}"
+HEADER_DATE = r"(?U)\d{4}[.-]\s*\d{1,2}[.-]\s*\d{1,2}"
+REGISTERED_DATE = r"(?U)등록일\s*:\s*([\d.-]+)"
+ENGLISH_DATE = r"(?U)[A-Za-z]+\s+\d{1,2},\s+\d{4}"
+SIZE_SUFFIX = r"(?iU)\([\d.,]+\s*(KB|MB|GB|Bytes?)\)"
 ENGINEERING_BLOCKS = (*BLOCK_TAGS, "option")
 ENGINEERING_GARBAGE_CLASSES = ("btn_area", "btn-wrap")
 ENGINEERING_STOP_WORDS = ("관리자 if문", "답변글 버튼", "목록 List 버튼", "등록 버튼")
@@ -63,6 +64,7 @@ class Site:
     link_no: Callable[[Column], Column] | None = None
     unique_links: bool = False
     charset: str = "utf-8"
+    max_page_bytes: int | None = None
     no_title: str = NO_TITLE
     no_date: str = NO_DATE
     no_body: str = NO_BODY
@@ -186,6 +188,7 @@ AI = Site(
 
 GLC = Site(
     code="glc",
+    max_page_bytes=MAX_HTML_BYTES,  # of a download; only this source has such a limit
     name="글로벌인재대학",
     list_url="https://glc.{domain}/notice/?mod=list",
     links=lambda dom: k.numbered_row_links(

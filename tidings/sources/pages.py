@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidings.functions.decode import KOREAN_CHARSET, decode_cp949, decode_utf8
 from tidings.functions.dom import parse_html
 from tidings.operators.payload import MAX_HTML_BYTES
+from tidings.operators.sources import per_source
 from tidings.schema import PAGES
 
 
@@ -28,11 +29,29 @@ def decoded(pages: DataFrame, sites, raw: str = "content", column: str = "html")
     return pages.withColumn(column, text).drop(raw)
 
 
-def too_large(html: Column, max_bytes: int = MAX_HTML_BYTES) -> Column:
+def too_large(html: Column, max_bytes: int | Column = MAX_HTML_BYTES) -> Column:
     return F.octet_length(html) > max_bytes
 
 
-def split_by_size(pages: DataFrame, max_bytes: int = MAX_HTML_BYTES):
+def download_limit(sites) -> Column:
+    """The size limit of a page by its source; null where a source has none."""
+    limits = {s.code: F.lit(s.max_page_bytes) for s in sites if s.max_page_bytes is not None}
+    none = F.lit(None).cast("int")
+    return per_source(F.col("source_code"), limits, none)
+
+
+def split_by_content(pages: DataFrame):
+    """Pages captured with content, and rejects for those without."""
+    without = pages.filter(F.col("html").isNull()).select(
+        "source_code",
+        "url",
+        F.lit("no_content").alias("reason"),
+        F.lit(None).cast("string").alias("detail"),
+    )
+    return pages.filter(F.col("html").isNotNull()), without
+
+
+def split_by_size(pages: DataFrame, max_bytes: int | Column = MAX_HTML_BYTES):
     """Pages within the size limit, and rejects for the others (without their HTML)."""
     big = F.coalesce(too_large(F.col("html"), max_bytes), F.lit(False))
     rejected = pages.filter(big).select(
@@ -72,7 +91,10 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(cores, key)
 
 
-def trees(pages: DataFrame, max_bytes: int = MAX_HTML_BYTES) -> DataFrame:
-    """Pages with their element tree; pages over the limit never reach the parser."""
-    within = spread(pages.filter(~too_large(F.col("html"), max_bytes)), "page_id")
+def trees(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Pages with content and their element tree; given a limit, pages over it are not parsed."""
+    within = pages.filter(F.col("html").isNotNull())
+    if max_bytes is not None:
+        within = within.filter(~too_large(F.col("html"), max_bytes))
+    within = spread(within, "page_id")
     return within.select("source_code", "page_id", "url", parse_html(F.col("html")).alias("dom"))
