@@ -1,7 +1,7 @@
 """Quality rules: counts over a text's words and lines, then a calibrated linear model.
 
 The model is a logistic regression over the relative frequencies of hashed word n-grams (one and two
-words) and byte n-grams (three to five), fitted by adaptive gradient steps on labelled rows,
+words) and character n-grams (three to five), fitted by adaptive gradient steps on labelled rows,
 calibrated on rows it has not seen, and applied in Arrow batches against a fixed threshold.
 """
 
@@ -74,9 +74,10 @@ class Text:
         return int((np.cumsum(steps) > 0).sum())
 
     def blocks(self) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of the word n-grams and of the byte n-grams, as often as they occur."""
+        """Buckets of the word n-grams and of the character n-grams, as often as they occur."""
         words = mix(np.concatenate([self.hashes, windows(self.hashes, 2) + U64(2)]))
-        wide = self.data.astype(np.uint32) + np.uint32(1)
+        characters = self.raw.decode("utf-8", "replace").encode("utf-32-le")
+        wide = np.frombuffer(characters, dtype="<u4") + np.uint32(1)
         grams, held = [], wide[:0]
         for n in range(1, 6):
             held = wide if n == 1 else held[:-1] * np.uint32(0x01000193) + wide[n - 1 :]
@@ -89,7 +90,7 @@ class Text:
 
 
 def flat_features(text: bytes) -> np.ndarray:
-    """Both blocks as one array: the number of word buckets, those, then the byte buckets."""
+    """Both blocks as one array: the number of word buckets, those, then the character buckets."""
     words, chars = Text(text).blocks()
     return np.concatenate([np.array([len(words)], dtype=np.uint32), words, chars])
 
