@@ -94,6 +94,17 @@ def test_the_sample_is_bounded(docs, llm):
     assert len(x) == 30
 
 
+def test_an_id_that_many_rows_share_is_sampled_once(docs, llm):
+    labels = llm.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    x, y = labelled.sample(docs([(1, f"text {i}") for i in range(300)] + [(2, None)]), labels, nb_svm.indicators)
+    assert y.tolist() == [1, 0][: len(y)] and len(x) == sum(not held(i) for i in (1, 2))
+    assert len(y) == 0 or (x[0] == nb_svm.indicators(b"text 0")).all() or held(1)
+
+
+def test_character_ngrams_are_of_characters():
+    assert len(quality_rules.Text("é漢字😀".encode()).blocks()[1]) == 3  # two of three characters, one of four
+
+
 def test_dual_coordinate_descent_separates():
     x = [np.array([i % 2, 2 + i % 7]) for i in range(60)]
     y = np.array([i % 2 for i in range(60)])

@@ -27,7 +27,8 @@ def sample(docs: DataFrame, labels: DataFrame, features: Callable, rows: int = S
     """Features and labels of the sample, in a fixed order: lists of arrays, and a 0/1 array.
 
     Labels other than 0 and 1 are left out; of several labels of a document the lowest counts, of
-    several texts each is a row. Without any labelled row both are empty.
+    several texts the first in byte order, so an id that many rows share is one row of the sample.
+    Without any labelled row both are empty.
     """
     known = (
         narrow(labels, "doc_id", "quality")
@@ -39,7 +40,8 @@ def sample(docs: DataFrame, labels: DataFrame, features: Callable, rows: int = S
         .limit(rows)
     )
     # At most ``rows`` pairs of numbers, whatever the size of the corpus.
-    chosen = narrow(docs, "doc_id", "text").join(F.broadcast(known), "doc_id")
+    matched = narrow(docs, "doc_id", "text").join(F.broadcast(known), "doc_id")
+    chosen = matched.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def work(batch: pa.RecordBatch) -> dict:
         found = [features(t).astype("<u4").tobytes() for t in raw_texts(batch)]
