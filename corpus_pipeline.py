@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tidings.llm import chunk_dedup, jaccard_join, nb_svm, packing, personal_data
-from tidings.llm.catalog import prepared, raw_texts, table
+from tidings.llm.catalog import prepared, raw_texts, table, unused
 from tidings.session import staged
 
 
@@ -34,9 +34,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of every near-duplicate class; documents without id stay."""
     prepared(spark)
-    dropped = jaccard_join.classes(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    of = unused(docs, "gone")
+    dropped = jaccard_join.classes(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(of))
     gone = dropped.distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col(of), "left_anti")
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +52,10 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
         )
         return pd.Series(list(shorter), dtype=object)
 
-    found = chunk_dedup.found_elsewhere(docs, "_elsewhere")
-    changed = found.withColumn("_text", left("text", "_elsewhere")).filter(F.col("_text").rlike(r"\S"))
-    return _with_text(docs, changed)
+    elsewhere, new = unused(docs, "elsewhere"), unused(docs, "left")
+    found = chunk_dedup.found_elsewhere(docs, elsewhere)
+    changed = found.withColumn(new, left("text", elsewhere)).filter(F.col(new).rlike(r"\S"))
+    return _with_text(docs, changed, new)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +66,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     def clean(text: pd.Series) -> pd.Series:
         return pd.Series([personal_data.clean(t or "") for t in text], dtype=object)
 
-    return _with_text(docs, docs.withColumn("_text", clean("text")))
+    new = unused(docs, "clean")
+    return _with_text(docs, docs.withColumn(new, clean("text")), new)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,11 +75,11 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.packed(prepared(spark) and docs)
 
 
-def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """The columns of ``docs``, with the text of ``changed`` and its length."""
-    new = {"text": F.col("_text")}
+def _with_text(docs: DataFrame, changed: DataFrame, column: str) -> DataFrame:
+    """The columns of ``docs``, with the text in ``column`` of ``changed`` and its length."""
+    new = {"text": F.col(column)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.length(column).cast(docs.schema["n_chars"].dataType)
     return changed.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 

@@ -150,3 +150,20 @@ def test_pipeline_odd_rows(odd, empty, llm, tmp_path):
             frame = stage(llm, frame, sf_dir)
             assert frame.count() <= most
         corpus_pipeline.STAGES[-1][1](llm, frame, sf_dir).count()
+
+
+def test_stage_columns_may_bear_any_name(docs, llm, tmp_path):
+    draw = random.Random(12)
+    words = [f"w{draw.randint(0, 9999)}" for _ in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, " ".join(words[:50] + words[:50]))]
+    names = ("of", "_of", "gone", "elsewhere", "left", "clean", "rep", "key", "digest", "_text")
+    frame = docs(rows)
+    for name in names:
+        frame = frame.drop(name).withColumn(name, F.lit(name))
+    sf_dir = labelled(llm, tmp_path, [])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(llm, frame, sf_dir)
+        assert after.columns == frame.columns
+        assert all(r[n] == n for r in after.select(*names).collect() for n in names)
+        frame = after
+    assert corpus_pipeline.STAGES[-1][1](llm, frame, sf_dir).count()

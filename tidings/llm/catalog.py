@@ -49,6 +49,14 @@ def narrow(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select(*(F.col(f"`{c}`") for c in columns))
 
 
+def unused(rows: DataFrame, name: str) -> str:
+    """``name``, under as many underscores as make it differ from every column of ``rows``."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def in_arrow(rows: DataFrame, work: Callable, schema: str) -> DataFrame:
     """``work`` maps a record batch to a dict of columns; rows stay in their partitions."""
 

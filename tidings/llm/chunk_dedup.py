@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.catalog import in_arrow, narrow, query, raw_texts, table
+from tidings.llm.catalog import in_arrow, narrow, query, raw_texts, table, unused
 from tidings.llm.words import U64, Powers, mix, span_hashes, spans
 
 #: Words of the shortest chunk; shorter ones repeat by chance.
@@ -120,8 +120,11 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def found_elsewhere(docs: DataFrame, column: str) -> DataFrame:
-    """``docs``, in all its columns, with the digests that an earlier document keeps."""
-    rows = digests(docs)
+    """``docs``, in all its columns, with the digests that an earlier document keeps.
+
+    ``column`` must be no column of ``docs`` yet.
+    """
+    rows, of = digests(docs), unused(docs, "of")
     common = rows.groupBy("digest").agg(
         F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")
     )
@@ -129,10 +132,10 @@ def found_elsewhere(docs: DataFrame, column: str) -> DataFrame:
     gone = (
         rows.join(common, "digest")
         .filter("doc_id <> keeper")
-        .groupBy(F.col("doc_id").alias("_of"))
+        .groupBy(F.col("doc_id").alias(of))
         .agg(F.collect_set("digest").alias(column))
     )
-    return docs.join(gone, F.col("doc_id") == F.col("_of"), "left").drop("_of")
+    return docs.join(gone, F.col("doc_id") == F.col(of), "left").drop(of)
 
 
 def shortened(raw: bytes, elsewhere) -> tuple[Chunks, list, bytes, list]:
