@@ -13,7 +13,6 @@ from tidings.plans.catalog import QUERIES, table
 from tidings.plans.crawl import links_of, posts_of
 from tidings.plans.queries_tables import _batch, _stored
 from tidings.plans.sites import SITES
-from tidings.sources.pages import spread
 
 
 def plan_of(frame) -> str:
@@ -60,12 +59,8 @@ def test_expressions_need_no_python_and_no_shuffle(spark):
     assert "Python" not in plan and "Exchange" not in plan
 
 
-def test_only_lone_files_are_spread(spark, tmp_path):
-    pages = table(spark, SF_SMALL, "pages")
-    assert plan_of(spread(pages, "page_id")).count("REPARTITION_BY_NUM") == 1
-    many = str(tmp_path / "many")
-    pages.repartition(16).write.parquet(many)
-    assert "Exchange" not in plan_of(spread(spark.read.parquet(many), "page_id"))
+def test_pages_are_parsed_where_they_are_read(spark):
+    assert "Exchange" not in plan_of(run(spark, "page_detail"))
 
 
 def test_parser_runs_once_and_after_the_page_filter(spark):

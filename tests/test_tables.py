@@ -58,9 +58,10 @@ def test_started_run(spark):
 
 
 def test_registry(spark):
-    known = registry(spark, SITES, "school.example")
+    known = registry(spark, SITES, {"glc": "https://school.example/list"})
     assert known.count() == 7
-    assert known.filter("external_id = 'glc'").first().list_url == "https://glc.school.example/notice/?mod=list"
+    assert known.filter("external_id = 'glc'").first().list_url == "https://school.example/list"
+    assert known.filter("list_url IS NULL").count() == 6
     require_known("glc", SITES)
     with pytest.raises(ValueError):
         require_known("law", SITES)

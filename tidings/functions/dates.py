@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tidings.functions.text import is_digits, let, strip, zero_pad
 
 # Date patterns and month names. Digits and spaces are those of Unicode, (?U).
-PUBLISHED_PATTERN = r"([0-9]{4})[.-]([0-9]{1,2})[.-]([0-9]{1,2})"
+PUBLISHED_PATTERN = r"(?U)(\d{4})[.-](\d{1,2})[.-](\d{1,2})"
 YEAR_FIRST_PATTERN = r"(?U)(\d{4})[-./년]\s*(\d{1,2})[-./월]\s*(\d{1,2})"
 MONTH_NAME_PATTERN = r"(?U)([A-Za-z]+)\s+(\d{1,2}),\s+(\d{4})"
+DIGITS_PATTERN = r"(?U)(\d+)"
 DATE_MARKS = "년월일/-"
 MONTHS = {
     "Jan": "01", "Feb": "02", "Mar": "03", "Apr": "04", "May": "05", "Jun": "06",
@@ -18,6 +19,10 @@ MONTHS = {
 }
 UNKNOWN_MONTH = "01"
 
+#: Decimal digits of other scripts, which a cast does not read.
+OTHER_DIGITS = "".join(c for c in map(chr, range(0x80, 0x10000)) if c.isdecimal())
+PLAIN_DIGITS = "".join(str(int(c)) for c in OTHER_DIGITS)
+
 
 def _with_match(text: Column, pattern: str, build) -> Column:
     """``build`` of the first match, which is looked up once; null without a match.
@@ -37,7 +42,7 @@ def published_at(text: Column) -> Column:
     """Midnight UTC of the first date anywhere in the text; null if none or impossible."""
 
     def midnight(group) -> Column:
-        year, month, day = [group(g).cast("int") for g in (1, 2, 3)]
+        year, month, day = [F.translate(group(g), OTHER_DIGITS, PLAIN_DIGITS).cast("int") for g in (1, 2, 3)]
         zero = F.lit(0)
         made = F.try_make_timestamp(
             year, month, day, zero, zero, zero.cast("decimal(8,6)"), F.lit("UTC")
@@ -77,7 +82,7 @@ def date_from_parts(text: Column) -> Column:
 
 def date_from_digit_runs(text: Column) -> Column:
     """Join the first three runs of digits."""
-    return _dotted_parts(F.regexp_extract_all(text, F.lit(r"([0-9]+)"), F.lit(1)), text)
+    return _dotted_parts(F.regexp_extract_all(text, F.lit(DIGITS_PATTERN), F.lit(1)), text)
 
 
 def date_month_name(text: Column) -> Column:

@@ -10,6 +10,7 @@ entry; what lies between the two is its content.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections import Counter
 from html import unescape
@@ -244,6 +245,15 @@ def has_id(entry: Column, name: str) -> Column:
     return F.coalesce(attr(entry, "id") == name, F.lit(False))
 
 
+def matches(entry: Column, selector: str) -> Column:
+    """Whether an element fits a selector of the forms ``tag``, ``.class``, ``#id``, ``tag.class``."""
+    tag, sign, name = re.fullmatch(r"(\w*)([.#]?)(.*)", selector).groups()
+    test = entry["tag"] == tag if tag else F.lit(True)
+    if sign:
+        test = test & (has_class(entry, name) if sign == "." else has_id(entry, name))
+    return test
+
+
 def find_all(entries: Column, test) -> Column:
     """Opening entries that pass ``test``, in document order."""
     return F.filter(entries, lambda e: is_element(e) & test(e))

@@ -24,9 +24,13 @@ def per_source(code: Column, by_code: dict, default: Column | None = None) -> Co
     return chosen if default is None else chosen.otherwise(default)
 
 
-def registry(spark: SparkSession, sites, domain: str = "example.org") -> DataFrame:
-    """Registry rows ``external_id, name, list_url`` of the configured sites."""
-    rows = [(s.code, s.name, s.list_url.format(domain=domain)) for s in sites]
+def registry(spark: SparkSession, sites, list_urls: dict[str, str]) -> DataFrame:
+    """Registry rows ``external_id, name, list_url`` of the configured sites.
+
+    The addresses of the lists, by code, are settings of an installation, not part of the
+    rules; a site without one is not collected and has a null address.
+    """
+    rows = [(s.code, s.name, list_urls.get(s.code)) for s in sites]
     return spark.createDataFrame(rows, "external_id string, name string, list_url string")
 
 

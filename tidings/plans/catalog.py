@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidings.functions.text import WHITESPACE
-from tidings.sources.pages import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,11 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table for work that is heavy on the processor: a lone small file goes to all cores."""
-    return spread(table(spark, sf_dir, name), key)
-
-
 # --- SQL pieces shared by the oracles -----------------------------------------------------
 
 SQL_SPACES = "'" + WHITESPACE + "'"

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidings.functions import dates
-from tidings.functions.dom import BLOCK_TAGS, find, has_class, has_id, inside, labelled_value
+from tidings.functions.dom import BLOCK_TAGS, find, has_class, has_id, inside, labelled_value, matches
 from tidings.functions.text import let
 from tidings.functions.urls import key_from_query
 from tidings.operators import details as d
@@ -38,7 +40,7 @@ REGISTERED_DATE = r"(?U)등록일\s*:\s*([\d.-]+)"
 ENGLISH_DATE = r"(?U)[A-Za-z]+\s+\d{1,2},\s+\d{4}"
 SIZE_SUFFIX = r"(?iU)\([\d.,]+\s*(KB|MB|GB|Bytes?)\)"
 ENGINEERING_BLOCKS = (*BLOCK_TAGS, "option")
-ENGINEERING_GARBAGE_CLASSES = ("btn_area", "btn-wrap")
+ENGINEERING_GARBAGE = (".btn_area", ".btn-wrap", "#bo_v_share", "ul.btn_bo_user", "div.btn_confirm")
 ENGINEERING_STOP_WORDS = ("관리자 if문", "답변글 버튼", "목록 List 버튼", "등록 버튼")
 ENGINEERING_ICONS = ("icon", "btn", "button", "search", "blank")
 ICONS = ("icon", "btn", "blank")
@@ -53,7 +55,6 @@ UNDERWOOD_PER_BOX = 5
 class Site:
     code: str
     name: str
-    list_url: str
     links: Callable[[Column], Column]
     title: Callable[[Column], Column]
     date: Callable[[Column], Column]
@@ -83,20 +84,12 @@ def _by_class(dom: Column, name: str, *tags: str) -> Column:
 
 
 def _engineering_garbage(e: Column) -> Column:
-    test = (
-        has_id(e, "bo_v_share")
-        | ((e["tag"] == "ul") & has_class(e, "btn_bo_user"))
-        | ((e["tag"] == "div") & has_class(e, "btn_confirm"))
-    )
-    for name in ENGINEERING_GARBAGE_CLASSES:
-        test = test | has_class(e, name)
-    return test
+    return reduce(or_, [matches(e, selector) for selector in ENGINEERING_GARBAGE])
 
 
 ENGINEERING = Site(
     code="engineering",
     name="공과대학",
-    list_url="https://engineering.{domain}/engineering/board/notice.do?mode=list&articleLimit=10",
     links=lambda dom: k.numbered_row_links(dom, k.rows_of(dom)),
     title=lambda dom: d.labelled_title(dom, "제목", NO_TITLE, ENGINEERING_BLOCKS),
     date=lambda dom: d.date_in(dom, None, ISO_DATE),
@@ -119,7 +112,6 @@ ENGINEERING = Site(
 SCIENCE = Site(
     code="science",
     name="이과대학",
-    list_url="http://science.{domain}/community/notice",
     links=lambda dom: k.numbered_row_links(
         dom,
         k.rows_of(dom, "nxb-list-table"),
@@ -143,7 +135,6 @@ SCIENCE = Site(
 MEDICINE = Site(
     code="medicine",
     name="의과대학",
-    list_url="https://medicine.{domain}/medicine/news/notice.do",
     links=lambda dom: k.item_links(dom, "bbs-item", "bbs-list", ("articleNo", "mode=view")),
     link_no=lambda url: F.coalesce(key_from_query(url, MEDICINE_KEYS), F.lit(MEDICINE_NO_KEY)),
     unique_links=True,
@@ -167,7 +158,6 @@ MEDICINE = Site(
 AI = Site(
     code="ai",
     name="인공지능융합대학",
-    list_url="https://computing.{domain}/bbs/board.php?bo_table=sub4_4",
     links=lambda dom: k.numbered_row_links(
         dom, k.rows_of(dom), title_class="td_subject", title_in_second_cell=True
     ),
@@ -190,7 +180,6 @@ GLC = Site(
     code="glc",
     max_page_bytes=MAX_HTML_BYTES,  # of a download; only this source has such a limit
     name="글로벌인재대학",
-    list_url="https://glc.{domain}/notice/?mod=list",
     links=lambda dom: k.numbered_row_links(
         dom,
         k.rows_of(dom, body_only=False),
@@ -219,7 +208,6 @@ GLC = Site(
 UNDERWOOD = Site(
     code="underwood",
     name="언더우드국제대학",
-    list_url="https://uic.{domain}/main/news.php?mid=m06_01_01",
     links=lambda dom: k.box_links(
         dom,
         "divbox_half_news",
@@ -242,7 +230,6 @@ UNDERWOOD = Site(
 BUSINESS = Site(
     code="business",
     name="경영대학",
-    list_url="https://ysb.{domain}/board.asp?mid=m06_01",
     charset="cp949",
     links=lambda dom: k.title_cell_links(dom, "Subject", "subject"),
     unique_links=True,

@@ -77,24 +77,9 @@ def latest_captures(pages: DataFrame) -> DataFrame:
     return dated.join(winners, keys, "left_semi").drop("_at")
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores when they come from fewer files than there are cores.
-
-    For work that costs far more per byte than reading. A table of many files, or one large
-    enough to be split while reading, passes unchanged: nothing big is shuffled for this.
-    """
-    spark = rows.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = rows.inputFiles()
-    if not files or len(files) >= cores:
-        return rows
-    return rows.repartition(cores, key)
-
-
 def trees(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Pages with content and their element tree; given a limit, pages over it are not parsed."""
     within = pages.filter(F.col("html").isNotNull())
     if max_bytes is not None:
         within = within.filter(~too_large(F.col("html"), max_bytes))
-    within = spread(within, "page_id")
     return within.select("source_code", "page_id", "url", parse_html(F.col("html")).alias("dom"))
