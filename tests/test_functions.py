@@ -221,3 +221,8 @@ def test_dates_with_unicode_spaces_and_digits(apply):
 
     assert apply(date_year_first, ["2026년\xa02월\xa09일", "2026-2-9"]) == ["2026.02.09", "2026.02.09"]
     assert apply(date_month_name, ["Feb\xa09,\xa02026", "Mar 10, 2026"]) == ["2026.02.09", "2026.03.10"]
+
+
+def test_published_date_in_other_digits(apply):
+    found = apply(dates.published_at, ["２０２６.０２.09", "٢٠٢٦-٢-٩"])
+    assert [f.strftime("%Y-%m-%d") for f in found] == ["2026-02-09"] * 2

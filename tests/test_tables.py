@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidings.operators import evolve, integrity, lookup
-from tidings.operators.delete import delete_range
+from tidings.operators.delete import delete_from_store, delete_range
 from tidings.operators.runs import check_limit, recent_runs, started_run, update_runs
 from tidings.operators.sources import registry, require_known, seed_missing, split_unknown
 from tidings.plans.sites import SITES
-from tidings.schema import RUNS
+from tidings.schema import NOTICES, RUNS, conform
+from tidings.sources.store import NoticeStore
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -159,3 +160,24 @@ def test_schema_changes(spark):
     assert evolve.require_columns(rows.filter("id = 1"), "t").count() == 1
     with pytest.raises(Exception, match="required column t"):
         evolve.require_columns(rows, "t").collect()
+
+
+def test_a_version_without_records_is_logged(spark, tmp_path):
+    store = NoticeStore(spark, str(tmp_path / "s")).create()
+    assert store.write(spark.createDataFrame([], NOTICES), []) == 1
+    assert store.next_version() == 2 and store.read().count() == 0
+
+
+def test_delete_from_store(spark, tmp_path):
+    store = NoticeStore(spark, str(tmp_path / "s")).create()
+    rows = spark.createDataFrame(
+        [(1, "glc", "2024-01-01"), (2, "glc", "2024-03-01"), (3, "glc", None), (4, "ai", "2024-03-01")],
+        "id long, source_code string, created_at string",
+    )
+    store.write(conform(rows, NOTICES), ["glc", "ai"])
+    with pytest.raises(ValueError):
+        delete_from_store(store, "law", SITES)
+    used = spark.createDataFrame([(2,)], "id long")
+    done = delete_from_store(store, "glc", SITES, after="2023-12-31", references=used)
+    assert (done.version, done.deleted, done.blocked) == (2, 1, 1)
+    assert {r.id for r in store.read().collect()} == {2, 3, 4}

@@ -7,6 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidings.operators.sources import require_known
+
+
+@dataclass(frozen=True)
+class DeleteResult:
+    version: int
+    deleted: int
+    blocked: int
+
 
 @dataclass(frozen=True)
 class Deletion:
@@ -46,3 +55,20 @@ def delete_range(
     used = references.select(key)
     blocked = chosen.join(used, key, "left_semi")
     return Deletion(kept.unionByName(blocked), chosen.join(used, key, "left_anti"), blocked)
+
+
+def delete_from_store(
+    store, source: str, sites, before=None, after=None, references: DataFrame | None = None
+) -> DeleteResult:
+    """Delete one source's notices, by their time of creation, from a stored table.
+
+    A source without rules is refused. The rows left become a new version of that source;
+    other sources are not read.
+    """
+    require_known(source, sites)
+    version = store.next_version()
+    stored = store.read([source], before=version)
+    gone = delete_range(stored, "source_code", source, "created_at", before, after, references)
+    deleted, blocked = gone.deleted.count(), gone.blocked.count()
+    store.write(gone.kept, [source], version)
+    return DeleteResult(version, deleted, blocked)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidings.functions.text import content_hash, name_structs
 from tidings.operators import evolve, integrity, lookup
 from tidings.operators.dedup import first_seen
-from tidings.operators.delete import delete_range
+from tidings.operators.delete import delete_from_store, delete_range
 from tidings.operators.payload import (
     MAX_HTML_BYTES,
     PLACEHOLDER_TITLES,
@@ -26,7 +28,12 @@ from tidings.operators.upsert import (
     upsert_users,
 )
 from tidings.plans.catalog import query, sql_content_hash, table
-from tidings.schema import LENGTH_LIMITS, NOTICES, conform
+from tidings.plans.crawl import read_runs
+from tidings.plans.sites import SITES
+from tidings.schema import LENGTH_LIMITS, NOTICES, RUNS, conform
+from tidings.session import shared_folder
+from tidings.sources.pages import decoded
+from tidings.sources.store import NoticeStore
 
 BATCH_TS = "2024-06-01 00:00:00"
 STORED_TS = "2024-01-01 00:00:00"
@@ -628,6 +635,105 @@ def delete_report(spark, sf):
     )
 
 
+_CODES = ", ".join(f"'{s.code}'" for s in SITES)
+
+
+@query(
+    "store_delete",
+    f"""
+    WITH n AS (
+      SELECT o_orderkey AS id, [{_CODES}][o_orderkey % 7 + 1] AS source_code,
+             CAST(o_orderkey AS VARCHAR) AS external_id, o_orderdate AS created_at FROM orders)
+    SELECT id, source_code, external_id FROM n
+    WHERE NOT (source_code = 'glc' AND created_at < TIMESTAMP '{_DELETE_BOUNDS[0]}'
+               AND created_at > TIMESTAMP '{_DELETE_BOUNDS[1]}')
+    """,
+)
+def store_delete(spark, sf):
+    """Notices made from orders are stored, one source's are deleted by date, the rest read back."""
+    codes = F.array(*[F.lit(s.code) for s in SITES])
+    notices = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.get(codes, (F.col("o_orderkey") % 7).cast("int")).alias("source_code"),
+        F.col("o_orderkey").cast("string").alias("external_id"),
+        F.col("o_orderdate").alias("created_at"),
+    )
+    store = NoticeStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}").create()
+    store.write(conform(notices, NOTICES), [s.code for s in SITES])
+    before, after = _DELETE_BOUNDS
+    delete_from_store(store, "glc", SITES, before=before, after=after)
+    return store.read().select("id", "source_code", "external_id")
+
+
+# --- run log, raw pages ---------------------------------------------------------------------
+
+
+@query(
+    "run_log",
+    """
+    SELECT 'task ' || o_custkey AS task_id,
+      strftime(TIMESTAMP '2024-01-01' + to_seconds(o_orderkey), '%Y-%m-%d %H:%M:%S') AS started,
+      CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'success' ELSE 'running' END AS status,
+      CAST(CASE WHEN o_orderstatus = 'O' THEN o_orderkey % 50 ELSE 0 END AS INTEGER) AS notices_upserted,
+      CASE WHEN o_orderstatus = 'F' THEN 'boom ' || o_orderkey END AS error_message
+    FROM orders
+    """,
+)
+def run_log(spark, sf):
+    """The run log of tasks that fail, are tried again and succeed: an attempt per order."""
+    order, state = F.col("o_orderkey"), F.col("o_orderstatus")
+    started = (F.lit("2024-01-01").cast("timestamp").cast("long") + order).cast("timestamp")
+    attempts = table(spark, sf, "orders").select(
+        F.concat(F.lit("task "), "o_custkey").alias("task_id"),
+        started.alias("started_at"),
+        F.lit("running").alias("status"),
+        F.lit(0).alias("notices_upserted"),
+        state.alias("state"),
+        order.alias("id"),
+    )
+    done = attempts.filter("state IN ('F', 'O')").select(
+        "task_id",
+        "started_at",
+        F.expr("started_at + INTERVAL 1 MINUTE").alias("finished_at"),
+        F.when(F.col("state") == "F", "failed").otherwise("success").alias("status"),
+        F.when(F.col("state") == "O", F.col("id") % 50).cast("int").alias("notices_upserted"),
+        F.when(F.col("state") == "F", F.concat(F.lit("boom "), "id")).alias("error_message"),
+    )
+    log = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    conform(attempts, RUNS).write.parquet(f"{log}/runs")
+    done.write.parquet(f"{log}/updates")
+    return read_runs(spark, log).select(
+        "task_id",
+        F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started"),
+        "status",
+        "notices_upserted",
+        "error_message",
+    )
+
+
+@query(
+    "decode_bytes",
+    """
+    SELECT doc_id, CASE WHEN doc_id % 3 = 0
+                        THEN '가' || regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') || chr(65533)
+                        ELSE text || chr(65533) END AS html
+    FROM documents
+    """,
+)
+def decode_bytes(spark, sf):
+    """Raw pages in the charset of their source, each with a byte at its end that is none."""
+    korean = F.col("doc_id") % 3 == 0
+    ascii_only = F.regexp_replace("text", "[^\\x00-\\x7F]", "")
+    raw = F.when(korean, F.concat(F.unhex(F.lit("B0A1")), F.encode(ascii_only, "UTF-8")))
+    raw = raw.otherwise(F.encode("text", "UTF-8"))
+    pages = table(spark, sf, "documents").select(
+        "doc_id",
+        F.when(korean, "business").otherwise("glc").alias("source_code"),
+        F.concat(raw, F.unhex(F.lit("FF"))).alias("content"),
+    )
+    return decoded(pages, SITES).select("doc_id", "html")
+
+
 # --- checks ---------------------------------------------------------------------------------
 
 
