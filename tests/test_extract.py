@@ -1,5 +1,7 @@
 """Site rules on small pages written by hand."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -331,3 +333,30 @@ def test_tree_builder_is_linear_in_void_tags():
     seconds(1000)
     small = seconds(20_000)
     assert seconds(80_000) < 8 * small
+
+
+@pytest.mark.parametrize(
+    "unit",
+    [
+        "<table><tbody><tr><td>1</td></tr></tbody></table>",
+        "<p> <br></p><div><p></p></div>",
+        "<p>x<br>y</p>",
+    ],
+    ids=["tables", "blank blocks", "breaks"],
+)
+def test_page_work_is_linear(spark, unit):
+    """A page four times as long takes at most about four times as long."""
+
+    def seconds(size):
+        page = f"<!-- 본문 내용 시작 --><div>{unit * (size // len(unit))}</div><!-- 본문 내용 끝 -->"
+        rows = spark.createDataFrame(
+            [("ai", 1, BASE, page)], "source_code string, page_id long, url string, html string"
+        )
+        start = time.perf_counter()
+        extract_details(trees(rows), SITES).select(F.length("html")).collect()
+        extract_links(trees(rows), SITES).select("no").collect()
+        return time.perf_counter() - start
+
+    seconds(1000)
+    small, large = (min(seconds(n) for _ in range(2)) for n in (50_000, 200_000))
+    assert large < 6 * small + 1

@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import sys
 from collections import Counter
+from functools import reduce
 from html import unescape
 from html.entities import html5
 from html.parser import HTMLParser
@@ -41,10 +42,15 @@ SPACE_KEEPING_TAGS = frozenset("pre textarea".split())
 ASCII_SPACES = "\n\t\x0c\r "
 LIST_ATTRIBUTES = frozenset("class rel rev headers accesskey dropzone".split())
 
-DOM_TYPE = (
-    "array<struct<pos:int,kind:string,tag:string,peer:int,parent:int,ink:int,zone:string,"
-    "text:string,attrs:map<string,string>>>"
+# Elements that start a new line in structural text.
+BLOCK_TAGS = ("div", "p", "li", "tr", "h1", "h2", "h3", "dd", "dt")
+BLOCK_BITS = {tag: 1 << i for i, tag in enumerate((*BLOCK_TAGS, "option"))}
+
+ENTRY_TYPE = (
+    "struct<pos:int,kind:string,tag:string,peer:int,parent:int,ink:int,tables:int,bodies:int,"
+    "pale:int,zone:string,text:string,attrs:map<string,string>>"
 )
+DOM_TYPE = f"array<{ENTRY_TYPE}>"
 
 
 class _Entries:
@@ -53,6 +59,7 @@ class _Entries:
     def __init__(self):
         self.kind, self.tag, self.peer, self.parent = [], [], [], []
         self.ink, self.zone, self.text, self.pos = [], [], [], []
+        self.tables, self.bodies, self.pale = [], [], []
         self.attr_starts, self.names, self.values = [0], [], []
 
     def to_arrow(self) -> pa.StructArray:
@@ -67,6 +74,9 @@ class _Entries:
             "peer": pa.array(self.peer, ints),
             "parent": pa.array(self.parent, ints),
             "ink": pa.array(self.ink, ints),
+            "tables": pa.array(self.tables, ints),
+            "bodies": pa.array(self.bodies, ints),
+            "pale": pa.array(self.pale, ints),
             "zone": pa.array(self.zone, text),
             "text": pa.array(self.text, text),
             "attrs": attrs,
@@ -79,7 +89,9 @@ class _TreeBuilder(HTMLParser):
 
     ``ink`` of an element is the number of non-blank shown texts and tables in it, the
     element itself included; zero means blank. ``zone`` is the outermost enclosing element
-    whose content is dropped by cleaning, if any.
+    whose content is dropped by cleaning, if any. ``tables`` and ``bodies`` count the ``table``
+    and ``tbody`` elements around an entry, and ``pale`` has a bit for each block tag of a blank
+    element around it, the entry's own element included in all three.
     """
 
     def __init__(self, entries: _Entries):
@@ -197,6 +209,29 @@ class _TreeBuilder(HTMLParser):
         self._flush()
         while self.stack:
             self._close_top()
+        self._surround()
+
+    def _surround(self):
+        """What lies around each entry, in one pass: parents come before their content."""
+        out, base = self.out, self.base
+        for row in range(base, len(out.pos)):
+            kind, tag, parent = out.kind[row], out.tag[row], out.parent[row]
+            if kind == CLOSE:
+                opening = base + out.peer[row]
+                tables, bodies, pale = out.tables[opening], out.bodies[opening], out.pale[opening]
+            else:
+                tables = bodies = pale = 0
+                if parent >= 0:
+                    outer = base + parent
+                    tables, bodies, pale = out.tables[outer], out.bodies[outer], out.pale[outer]
+                if kind == OPEN:
+                    tables += tag == "table"
+                    bodies += tag == "tbody"
+                    if not out.ink[row]:
+                        pale |= BLOCK_BITS.get(tag, 0)
+            out.tables.append(tables)
+            out.bodies.append(bodies)
+            out.pale.append(pale)
 
 
 def _parse(pages: pa.Array) -> pa.Array:
@@ -394,23 +429,23 @@ def to_html(entries: Column) -> Column:
     )
 
 
-# Elements that start a new line in structural text.
-BLOCK_TAGS = ("div", "p", "li", "tr", "h1", "h2", "h3", "dd", "dt")
-
 _BLOCK_OPEN, _BLOCK_CLOSE = "\u0001", "\u0002"
 
 
 def structural_text(entries: Column, dropped: Column, block_tags: Column) -> Column:
     """Text with line structure: a line per block, ``br`` as line break, tables kept as HTML.
 
-    ``dropped`` are elements already cut from ``entries``; a block holding nothing else
-    counts as blank and leaves no line. Block limits are written as marks first, and the
-    white space next to a mark goes away together with it.
+    ``block_tags`` are some of ``BLOCK_BITS``. ``dropped`` are elements already cut from
+    ``entries``; a block holding nothing else counts as blank and leaves no line. Block limits
+    are written as marks first, and the white space next to a mark goes away together with it.
+
+    An entry knows how many tables and which blank blocks are around it; what all entries have
+    in common lies outside the region. So the work is linear in the region, but for blocks that
+    are blank only because of what was dropped: those are compared with the dropped elements.
     """
 
-    def blank(e: Column, cut: Column) -> Column:
-        low, high = F.least(e["pos"], e["peer"]), F.greatest(e["pos"], e["peer"])
-        cut_inside = F.filter(cut, lambda c: (c["pos"] > low) & (c["peer"] < high))
+    def emptied(e: Column, cut: Column) -> Column:
+        cut_inside = F.filter(cut, lambda c: (c["pos"] > e["pos"]) & (c["peer"] < e["peer"]))
         return e["ink"] == F.aggregate(cut_inside, F.lit(0), lambda n, c: n + c["ink"])
 
     def is_block(e: Column) -> Column:
@@ -419,13 +454,18 @@ def structural_text(entries: Column, dropped: Column, block_tags: Column) -> Col
     def around(outer: Column, e: Column) -> Column:
         return (outer["pos"] <= e["pos"]) & (e["pos"] <= outer["peer"])
 
-    def written(tables: Column, blanks: Column) -> Column:
+    def own_table(e: Column) -> Column:
+        return F.when(e["tag"] == "table", 1).otherwise(0)
+
+    def written(outside: Column, blanks: Column) -> Column:
         def piece(e: Column) -> Column:
-            holder = F.get(F.filter(tables, lambda t: around(t, e)), 0)
+            in_table = e["tables"] > outside["tables"]
+            is_holder = (e["kind"] == OPEN) & (e["tables"] - own_table(e) == outside["tables"])
             may_be_blank = (e["kind"] != TEXT) | (e["ink"] == 0)
-            unseen = e["zone"].isin(*sorted(UNSEEN_TAGS)) | (
-                may_be_blank & F.exists(blanks, lambda b: around(b, e))
+            in_blank = (e["pale"].bitwiseAND(outside["blocks"]) != 0) | F.exists(
+                blanks, lambda b: around(b, e)
             )
+            unseen = e["zone"].isin(*sorted(UNSEEN_TAGS)) | (may_be_blank & in_blank)
             plain = (
                 F.when(e["kind"].isin(TEXT, HIDDEN), e["text"])
                 .when((e["kind"] == OPEN) & (e["tag"] == "br"), F.lit("\n"))
@@ -434,19 +474,36 @@ def structural_text(entries: Column, dropped: Column, block_tags: Column) -> Col
                 .otherwise(F.lit(""))
             )
             return (
-                F.when(holder.isNull() & F.coalesce(unseen, F.lit(False)), F.lit(""))
-                .when(holder.isNull(), plain)
+                F.when(~in_table & F.coalesce(unseen, F.lit(False)), F.lit(""))
+                .when(~in_table, plain)
                 .when(e["zone"].isNotNull(), F.lit(""))
-                .otherwise(markup(e, e["pos"] == holder["pos"]))
+                .otherwise(markup(e, is_holder))
             )
 
         return F.array_join(F.transform(entries, piece), "")
 
-    def with_blanks(tables: Column) -> Column:
-        blanks = let(dropped, lambda cut: find_all(entries, lambda e: is_block(e) & blank(e, cut)))
-        return let(blanks, lambda found: written(tables, found))
-
-    text = let(find_all(entries, lambda e: e["tag"] == "table"), with_blanks)
+    def with_blanks(outside: Column) -> Column:
+        blanks = let(
+            dropped,
+            lambda cut: F.when(F.size(cut) == 0, cut).otherwise(
+                find_all(entries, lambda e: is_block(e) & (e["ink"] > 0) & emptied(e, cut))
+            ),
+        )
+        return let(blanks, lambda found: written(outside, found))
+
+    def blocks() -> Column:
+        bits = (F.when(F.array_contains(block_tags, t), b).otherwise(0) for t, b in BLOCK_BITS.items())
+        return reduce(Column.bitwiseOR, bits)
+
+    # Tables around the whole region; blocks that count, without blank ones around the whole.
+    tables = F.array_min(F.transform(entries, lambda e: e["tables"] - own_table(e)))
+    common = F.aggregate(entries, F.lit(-1), lambda bits, e: bits.bitwiseAND(e["pale"]))
+    text = let(
+        F.struct(
+            tables.alias("tables"), blocks().bitwiseAND(F.bitwise_not(common)).alias("blocks")
+        ),
+        with_blanks,
+    )
     opened = F.regexp_replace(
         text, rf"(?U){_BLOCK_OPEN}[{WHITESPACE_CLASS}{_BLOCK_OPEN}]*", "\n"
     )

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidings.functions.dom import (
     CLOSE,
     COMMENT,
+    DOM_TYPE,
     OPEN,
     TEXT,
     attr,
@@ -42,12 +43,7 @@ from tidings.functions.urls import base_name, file_name, on_origin, quote_path,
 from tidings.operators.sources import per_source
 
 IMAGE_TYPE = "array<struct<type:string,data:string,ext:string,name:string>>"
-BODY_TYPE = (
-    "struct<entries:array<struct<pos:int,kind:string,tag:string,peer:int,parent:int,ink:int,"
-    "zone:string,text:string,attrs:map<string,string>>>,"
-    "dropped:array<struct<pos:int,kind:string,tag:string,peer:int,parent:int,ink:int,"
-    "zone:string,text:string,attrs:map<string,string>>>>"
-)
+BODY_TYPE = f"struct<entries:{DOM_TYPE},dropped:{DOM_TYPE}>"
 
 
 # --- titles -------------------------------------------------------------------------------

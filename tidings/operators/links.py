@@ -46,23 +46,24 @@ def _anchor(entries: Column) -> Column:
 def rows_of(dom: Column, container_class: str | None = None, body_only: bool = True) -> Column:
     """Table rows; with ``body_only`` those in a ``tbody``, optionally in one container."""
 
-    def under(outer: Column, e: Column) -> Column:
-        return F.exists(outer, lambda o: (o["pos"] < e["pos"]) & (e["pos"] < o["peer"]))
-
-    def rows(bodies: Column) -> Column:
-        return find_all(dom, lambda e: (e["tag"] == "tr") & under(bodies, e))
-
-    def bodies_in(containers: Column) -> Column:
-        return find_all(dom, lambda e: (e["tag"] == "tbody") & under(containers, e))
+    def rows(test) -> Column:
+        return find_all(dom, lambda e: (e["tag"] == "tr") & test(e))
+
+    def in_body_of(containers: Column) -> Column:
+        return rows(
+            lambda e: F.exists(
+                containers,
+                lambda c: (c["pos"] < e["pos"])
+                & (e["pos"] < c["peer"])
+                & (e["bodies"] > c["bodies"]),
+            )
+        )
 
     if not body_only:
-        return find_all(dom, lambda e: e["tag"] == "tr")
+        return rows(lambda e: F.lit(True))
     if container_class is None:
-        return let(find_all(dom, lambda e: e["tag"] == "tbody"), rows)
-    return let(
-        find_all(dom, lambda e: has_class(e, container_class)),
-        lambda containers: let(bodies_in(containers), rows),
-    )
+        return rows(lambda e: e["bodies"] > 0)
+    return let(find_all(dom, lambda e: has_class(e, container_class)), in_body_of)
 
 
 def numbered_row_links(
