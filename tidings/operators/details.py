@@ -663,8 +663,8 @@ def extract_details(trees: DataFrame, sites) -> DataFrame:
     attachment_names``.
 
     ``trees`` has ``source_code, page_id, url, dom``. No shuffle; each rule is evaluated on
-    the rows of its own source only. A page the tokenizer refused has no title, so it is
-    rejected later.
+    the rows of its own source only. A page the tokenizer refused has no title (null), which
+    is what it is rejected for later; any other page has one, be it empty.
     """
     application = trees.sparkSession.sparkContext.applicationId
     helpers, results = _detail_columns(tuple(sites), application)

@@ -316,13 +316,20 @@ def _links_column(sites, application: str) -> Column:
     )
 
 
-def extract_links(trees: DataFrame, sites) -> DataFrame:
+def extract_links(trees: DataFrame, sites, with_refused: bool = False) -> DataFrame:
     """One row per link: ``source_code, list_page_id, pos, no, url, title``.
 
     ``trees`` has ``source_code, page_id, url, dom``. The whole extraction of a page is one
-    expression over its row; only the narrow link rows leave it.
+    expression over its row; only the narrow link rows leave it. ``with_refused`` adds a row of
+    position -1 with the page's own address for each page the tokenizer refused.
     """
     links = _links_column(tuple(sites), trees.sparkSession.sparkContext.applicationId)
+    if with_refused:
+        none = F.lit(None).cast("string")
+        page = F.struct(
+            F.lit(-1).alias("pos"), none.alias("no"), F.col("url").alias("url"), none.alias("title")
+        )
+        links = F.when(F.col("dom").isNull(), F.array(page)).otherwise(links)
     return trees.select(
         "source_code", F.col("page_id").alias("list_page_id"), F.explode(links).alias("link")
     ).select("source_code", "list_page_id", "link.pos", "link.no", "link.url", "link.title")

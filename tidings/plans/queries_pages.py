@@ -353,6 +353,51 @@ def crawl_rejects(spark, sf):
     return rejected.unionByName(missing).select("source_code", "url", "reason")
 
 
+@query(
+    "crawl_balance",
+    f"""
+    {_SQL_POSTS}, placed AS (
+      SELECT *, row_number() OVER (PARTITION BY source_code, external_id ORDER BY list_page_id, pos) AS nth
+      FROM judged WHERE reason IS NULL)
+    SELECT j.source_code, count(*) AS links,
+           count(*) FILTER (WHERE j.reason IS NOT NULL) AS rejects,
+           (SELECT count(*) FROM placed p WHERE p.source_code = j.source_code AND nth = 1) AS records,
+           (SELECT count(*) FROM placed p WHERE p.source_code = j.source_code AND nth > 1) AS duplicates,
+           true AS balanced
+    FROM judged j GROUP BY j.source_code
+    """,
+)
+def crawl_balance(spark, sf):
+    """Per source: every link is a record, a copy of one, or a reject."""
+    documents = table(spark, sf, "documents")
+    links = staged(links_of(boards.list_pages(documents), SITES))
+    posts, missing = posts_of(links, boards.post_pages(documents), SITES)
+    posts = staged(posts)
+    records, rejected = notices_of(posts)
+
+    def counted(rows, name):
+        return rows.groupBy("source_code").agg(F.count("*").alias(name))
+
+    accepted = posts.groupBy("source_code", "list_page_id", "pos").agg(F.count("*").alias("n"))
+    totals = counted(links, "links")
+    for rows, name in (
+        (accepted, "posts"),
+        (records, "records"),
+        (rejected, "bad"),
+        (rejected.unionByName(missing), "rejects"),
+    ):
+        totals = totals.join(counted(rows, name), "source_code", "left").fillna(0, [name])
+    duplicates = F.col("posts") - F.col("bad") - F.col("records")
+    return totals.select(
+        "source_code",
+        "links",
+        "rejects",
+        "records",
+        duplicates.alias("duplicates"),
+        (F.col("links") == F.col("rejects") + F.col("records") + duplicates).alias("balanced"),
+    )
+
+
 @query(
     "links_without_page",
     f"""

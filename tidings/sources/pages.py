@@ -63,15 +63,18 @@ def split_by_size(pages: DataFrame, max_bytes: int | Column = MAX_HTML_BYTES):
     return pages.filter(~big), rejected
 
 
-def latest_captures(pages: DataFrame) -> DataFrame:
-    """The newest capture of every address.
+def latest_captures(pages: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """The newest capture of every address; given ``targets``, of those addresses only.
 
     The winner is found on narrow columns by an aggregate that combines before the shuffle;
-    the pages themselves are then filtered by a semi join.
+    the pages themselves are then filtered by one semi join.
     """
     at = F.coalesce("fetched_at", F.lit("0001-01-01").cast("timestamp"))
     dated = pages.withColumn("_at", at)
-    newest = dated.groupBy("source_code", "url").agg(F.max(F.struct("_at", "page_id")).alias("m"))
+    narrow = dated.select("source_code", "url", "_at", "page_id")
+    if targets is not None:
+        narrow = narrow.join(targets, ["source_code", "url"], "left_semi")
+    newest = narrow.groupBy("source_code", "url").agg(F.max(F.struct("_at", "page_id")).alias("m"))
     winners = newest.select("source_code", "url", "m._at", "m.page_id")
     keys = ["source_code", "url", "_at", "page_id"]
     return dated.join(winners, keys, "left_semi").drop("_at")
