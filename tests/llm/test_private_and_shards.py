@@ -1,6 +1,7 @@
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import pytest
@@ -94,6 +95,26 @@ def test_shards_are_shuffled_and_repeatable(docs):
     assert {r.doc_id: 8 * r.slot + r.shard for r in other} != places
 
 
+def test_op10_moves_whole_rows(docs, llm, tmp_path, monkeypatch):
+    given = {i: None if i == 3 else f"é{i} " * (40_000 if i % 20 == 0 else 5) for i in range(100)}
+    docs(list(given.items())).write.parquet(str(tmp_path / "documents.parquet"))
+    seen, whole = [], sharding.sharded
+
+    def spy(records, weight, *rest):
+        seen.append((records.columns, records.agg(F.sum(weight)).first()[0]))
+        return whole(records, weight, *rest)
+
+    monkeypatch.setattr(sharding, "sharded", spy)
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 1 << 18)
+    out = sharding.op10_two_pass_shuffle(llm, str(tmp_path)).collect()
+    raw = {i: (t or "").encode() for i, t in given.items()}
+    assert "text" in seen[0][0] and seen[0][1] == sum(len(t) + 1 for t in raw.values())
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in out} == {
+        i: (len(t) + 1, zlib.crc32(t)) for i, t in raw.items()
+    }
+    assert sorted(8 * r.slot + r.shard for r in out) == list(range(100))
+
+
 def test_sharding_runs_without_python(docs):
     plan = sharding.sharded(docs([(1, "a")]), F.lit(8))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

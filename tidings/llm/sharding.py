@@ -37,7 +37,8 @@ def sharded(
             F.struct(*(F.col(f"`{c}`") for c in records.columns)).alias("record"),
             weight.cast("long").alias("weight"),
             F.monotonically_increasing_id().alias("row"),
-        )
+        ),
+        compression="zstd",
     )
     total = held.agg(F.sum("weight")).first()[0] or 0
     least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -45,16 +46,22 @@ def sharded(
     scattered = held.withColumn(
         "bucket", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(buckets)).cast("int")
     )
-    # First pass: a row per bucket, its records in a fixed order.
+    # First pass: a row per bucket, its records in a fixed order. Buckets are made where their records
+    # meet, in tasks that hold few of them, so no task gathers records of all buckets on the way.
+    tasks = -(-buckets // 4)
     filled = staged(
-        scattered.groupBy("bucket").agg(
+        scattered.repartition(tasks, "bucket").groupBy("bucket").agg(
             F.count("*").alias("n"),
             F.sort_array(F.collect_list(F.struct("row", "record"))).alias("items"),
-        )
+        ),
+        compression="zstd",
     )
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = filled.select(
-        F.col("bucket").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")
+    # Staged, so that its size is known to be small and the records need no second exchange.
+    bases = staged(
+        filled.select(
+            F.col("bucket").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")
+        )
     )
     # Second pass: a random order within each bucket, then places in the corpus.
     drawn = filled.select("bucket", F.shuffle("items", seed).alias("items"))
@@ -78,14 +85,12 @@ def write_shards(records: DataFrame, weight: Column, folder: str, shards: int =
 @query("op10_two_pass_shuffle")
 def op10_two_pass_shuffle(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
-    digests = table(spark, sf_dir, "documents").select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-    )
-    # A digest takes some 64 bytes in memory.
-    return sharded(digests, F.lit(64)).select(
-        "record.*",
+    documents = table(spark, sf_dir, "documents")
+    of = F.coalesce("record.text", F.lit(""))
+    return sharded(documents, F.octet_length(text) + 1).select(
+        "record.doc_id",
+        (F.octet_length(of) + 1).cast("long").alias("size"),
+        F.crc32(F.encode(of, "UTF-8")).alias("text_crc32"),
         F.lit("rows").alias("law"),
         "shard",
         "slot",

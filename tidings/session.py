@@ -38,13 +38,13 @@ def shared_folder(spark: SparkSession) -> str:
     return beside
 
 
-def staged(rows: DataFrame, path: str | None = None) -> DataFrame:
+def staged(rows: DataFrame, path: str | None = None, **options: str) -> DataFrame:
     """Write rows once to the shared folder and read them back.
 
     Used where several outputs need the same expensive rows: the lineage is cut, a lost
     executor does not lose them, and filters on extracted columns become filters on a file
-    scan instead of a second evaluation of the extraction.
+    scan instead of a second evaluation of the extraction. ``options`` are the writer's.
     """
     path = path or f"{shared_folder(rows.sparkSession)}/stage-{uuid.uuid4().hex}"
-    rows.write.mode("overwrite").parquet(path)
+    rows.write.options(**options).mode("overwrite").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
