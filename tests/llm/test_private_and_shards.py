@@ -56,6 +56,21 @@ def test_disguises(text, kind, found):
     assert found not in pd.clean(text) and f"[{kind.upper()}]" in pd.clean(text)
 
 
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("to jоhn@example.com now", "email", "jоhn@example.com"),
+        ("to john@mail.exаmple.com now", "email", "john@mail.exаmple.com"),
+        ("call +1 555 012 34５６ now", "phone", "+1 555 012 34５６"),
+    ],
+)
+def test_disguise_of_a_part(text, kind, found):
+    base = pd.detect(text)
+    assert base
+    assert (kind, text.index(found), text.index(found) + len(found)) in pd.hidden(text, base)
+    assert pd.clean(text) == text.replace(found, f"[{kind.upper()}]")
+
+
 @pytest.mark.parametrize("text", ["we met at the dot on the map", "one two three four", "Élan à été", "at 10.5 dot"])
 def test_clean_text_stays(text):
     assert pd.hidden(text, pd.detect(text)) == [] and pd.clean(text) == text

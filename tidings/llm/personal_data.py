@@ -12,6 +12,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -212,13 +214,14 @@ def disguised(text: str) -> bool:
 
 
 def hidden(text: str, base: list[Span]) -> list[Span]:
-    """Spans that only the rewritten text shows, none of which meets a span of ``base``."""
+    """Spans that only the rewritten text shows, none of which a span of ``base`` covers whole."""
     if not disguised(text):
         return []
     seen = Rewritten(text)
     for edits in (plain_edits, digit_edits, sign_edits):
         seen.replace(edits(seen.text))
     taken, out = sorted((s, e) for _, s, e in base), []
+    reach = list(accumulate((e for _, e in taken), max))
     for kind, s, e in detect(seen.text):
         start, end = seen.source(s, e)
         # Spaces that a sign or digit took along at the edges are no part of the find.
@@ -227,7 +230,8 @@ def hidden(text: str, base: list[Span]) -> list[Span]:
         own = text[start:end].lower()
         if kind == "email" and " at " in own and not own.endswith(TAILS):
             continue
-        if seen.text[s:e] != text[start:end] and all(e2 <= start or s2 >= end for s2, e2 in taken):
+        before = bisect_right(taken, (start, len(text)))
+        if not before or reach[before - 1] < end:
             out.append((kind, start, end))
     return out
 
