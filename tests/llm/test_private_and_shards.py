@@ -71,6 +71,41 @@ def test_disguise_of_a_part(text, kind, found):
     assert pd.clean(text) == text.replace(found, f"[{kind.upper()}]")
 
 
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("so anna at firma dot pl wrote", "email", "anna at firma dot pl"),
+        ("so anna at firma dot xyz wrote", "email", "anna at firma dot xyz"),
+        ("to jane at example.com now", "email", "jane at example.com"),
+        ("to jane at mail.example dot com now", "email", "jane at mail.example dot com"),
+        ("to jane at mail dot example.com. Then", "email", "jane at mail dot example.com"),
+        ("write at john dot doe at example dot com", "email", "john dot doe at example dot com"),
+        ("host 192.168.zero.one up", "ip", "192.168.zero.one"),
+        ("host 192[.]168[.]zero[.]1 up", "ip", "192[.]168[.]zero[.]1"),
+        ("card 4111 1111 1111 111 one ok", "card", "4111 1111 1111 111 one"),
+        ("in 1999, 4111 1111 1111 111 one ok", "card", "4111 1111 1111 111 one"),
+        ("call +1 555 012 34 five six", "phone", "+1 555 012 34 five six"),
+        ("one, " * 60 + "plus one, five, five, five, zero, one, two, three, four, five", "phone",
+         "plus one, five, five, five, zero, one, two, three, four, five"),
+    ],
+)
+def test_disguises_without_narrow_gates(text, kind, found):
+    spans = {(k, text[s:e]) for k, s, e in pd.hidden(text, pd.detect(text))}
+    assert (kind, found) in spans
+    assert found not in pd.clean(text) and f"[{kind.upper()}]" in pd.clean(text)
+
+
+def test_a_long_run_of_spelled_digits_is_one():
+    text = "plus " + "one " * 15 + "x " + "four " + "one " * 14 + "one " * 41 + "end"
+    assert len(pd.digit_edits("one, " * 60)) == 120 - 1
+    assert all(e[2] in "+14" for e in pd.digit_edits(text))
+
+
+@pytest.mark.parametrize("text", ["write at john.doe@example.com", "be at 5.30 or at home.Then go", "one 2 three"])
+def test_no_false_finds(text):
+    assert pd.hidden(text, pd.detect(text)) == []
+
+
 @pytest.mark.parametrize("text", ["we met at the dot on the map", "one two three four", "Élan à été", "at 10.5 dot"])
 def test_clean_text_stays(text):
     assert pd.hidden(text, pd.detect(text)) == [] and pd.clean(text) == text

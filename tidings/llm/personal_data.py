@@ -13,6 +13,7 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_right
+from copy import copy
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -29,10 +30,26 @@ LOOKALIKES = (
 #: Other signs for the dot and the hyphen.
 DOTS, HYPHENS = "․。｡。", "‐‑‒–—−﹣"
 INVISIBLE = "​‌‍⁠﻿­"
-#: Last labels after which a mere "at" and "dot" between words are an address.
+#: Last labels after which a mere "at" with plain dots is an address.
 LAST_LABELS = frozenset(
-    "com org net edu gov mil int info biz io ai app dev co uk us ca au de fr es it nl eu ru cn jp kr"
-    " in br ch at be se no example test invalid".split()
+    "com org net edu gov mil int info biz name pro mobi asia tel jobs travel museum coop aero cat"
+    " app dev xyz online site shop store tech cloud blog email agency digital group world live news"
+    " space club work company solutions services systems software network media studio design"
+    " global center page link art wiki academy berlin london example test invalid localhost"
+    " ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs"
+    " bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee"
+    " eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk"
+    " hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la"
+    " lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my"
+    " mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro"
+    " rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk"
+    " tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw".split()
+)
+#: Words that follow "dot" in prose and are no top-level domain.
+NO_LABELS = frozenset(
+    "on the and of or an for from with was were are that this these those which who then than but"
+    " if not into onto over under its his her their our they she he we when where will would could"
+    " should has had have been being as-is".split()
 )
 DIGIT_WORDS = "zero one two three four five six seven eight nine".split()
 
@@ -43,8 +60,6 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-TAILS = tuple(f"{sign}{label}" for sign in (".", " ", ")", "]", "}", ">") for label in LAST_LABELS)
-
 Span = tuple[str, int, int]
 
 
@@ -123,22 +138,37 @@ PLAIN = _plain_characters()
 PLAIN_SET = frozenset(map(chr, PLAIN))
 
 _WORDS = "|".join(DIGIT_WORDS)
-#: Signs in their disguises. Numbers of spaces are bounded, so every search is linear.
+_DOT = (
+    r"(?: \. | \x20{1,3} dot \x20{1,3} | \x20{0,3} [\[({<] \x20{0,3} (?:dot|\.) \x20{0,3} [\])}>] \x20{0,3} )"
+)
+_AT = r"\x20{0,3} [\[({<] \x20{0,3} (?:at|@) \x20{0,3} [\])}>]"
+#: Signs in their disguises. Numbers of spaces and labels looked ahead at are bounded, so every search
+#: is linear. A bare "at" needs a label and a dot after it, which are not the local part of an address.
 SIGNS = re.compile(
-    r"""(?ix)
-    (?P<at> \x20{0,3} [\[({<] \x20{0,3} (?:at|@) \x20{0,3} [\])}>] \x20{0,3}
-        | \x20{1,3} at \x20{1,3} (?= [a-z0-9-]{1,63}
-            (?: \x20{1,3} dot \x20{1,3} | \x20{0,3} [\[({<] \x20{0,3} (?:dot|\.) \x20{0,3} [\])}>] ) ) )
-    | (?P<dot> \x20{0,3} [\[({<] \x20{0,3} (?:dot|\.) \x20{0,3} [\])}>] \x20{0,3}
-        | \x20{1,3} dot \x20{1,3} (?= [a-z0-9] ) )
+    rf"""(?ix)
+    (?P<at> {_AT} \x20{{0,3}}
+        | \x20{{1,3}} at \x20{{1,3}} (?= [a-z0-9-]{{1,63}} {_DOT} [a-z0-9] )
+            (?! [a-z0-9_%+-]{{1,63}}+ (?: {_DOT} [a-z0-9_%+-]{{1,63}}+ ){{0,6}}
+                (?: @ | {_AT} | \x20{{1,3}} at \x20{{1,3}} [a-z0-9-]{{1,63}}+ {_DOT} [a-z] ) ) )
+    | (?P<dot> \x20{{0,3}} [\[({{<] \x20{{0,3}} (?:dot|\.) \x20{{0,3}} [\])}}>] \x20{{0,3}}
+        | \x20{{1,3}} dot \x20{{1,3}} (?= [a-z0-9] ) )
     """
 )
-#: A run of at least four spelled digits, among digits, "plus" and the signs.
-SPELLED = re.compile(
-    rf"(?i)\b(?:plus[ ,.-]{{1,3}}|\+[ ]{{0,3}})?(?:(?:{_WORDS}|oh|dot|point|[0-9]{{1,19}})(?:[ ,.-]{{1,3}}|\b)){{4,40}}"
+#: A run of spelled and other digits, "plus" and the signs.
+_BETWEEN = r"[ ,.()\[\]{}<>-]{1,7}"
+_TOKEN = rf"(?:{_WORDS}|oh|dot|point|[0-9]++)"
+SPELLED = re.compile(rf"(?i)\b(?:plus[ ,.-]{{1,3}}|\+[ ]{{0,3}})?(?:{_TOKEN}(?:{_BETWEEN}|\b))++")
+TOKEN = re.compile(rf"(?i)plus|\+|{_WORDS}|oh|[0-9]+|dot|point")
+#: No detector takes fewer digits.
+FEWEST_DIGITS = 4
+WORD_HINT = re.compile(
+    rf"(?i)\b(?:{_WORDS}){_BETWEEN}(?:{_WORDS}|oh|dot|point|[0-9])|(?:[0-9]|\b(?:oh|dot|point)){_BETWEEN}(?:{_WORDS})\b"
 )
-TOKEN = re.compile(rf"(?i)plus|\+|{_WORDS}|oh|[0-9]|\.|dot|point")
-WORD_HINT = re.compile(rf"(?i)\b(?:{_WORDS})\b[ ,.-]{{1,3}}(?:{_WORDS}|oh|[0-9])")
+BARE_AT = re.compile(r" +at +")
+LABEL = re.compile(r"[^\W_](?:[^\W_]|-)*")
+DISGUISED_DOT = re.compile(r"(?i) dot |[\[({<] *(?:dot|\.) *[\])}>]")
+#: A bare "at" before a label and a plain dot, in lower case.
+AT_HINT = re.compile(r" at {1,3}[a-z0-9-]{1,63}\.[a-z0-9]")
 
 
 class Rewritten:
@@ -174,23 +204,29 @@ def sign_edits(text: str) -> list[tuple[int, int, str]]:
     return [(*m.span(), "@" if m["at"] else ".") for m in SIGNS.finditer(text)]
 
 
-def digit_edits(text: str) -> list[tuple[int, int, str]]:
+def digit_edits(text: str, apart: bool = False) -> list[tuple[int, int, str]]:
+    """Spelled digits, and what lies between the digits of a run; a dot there stays one.
+
+    With ``apart``, what lies between two numbers that are not spelled stays as it is.
+    """
     out = []
     for run in SPELLED.finditer(text):
-        tokens = list(TOKEN.finditer(run[0].rstrip(" ,.-")))
-        if sum(t[0].lower() in DIGIT_WORDS for t in tokens) < 4:
+        tokens = [(t.start() + run.start(), t.end() + run.start(), t[0].lower()) for t in TOKEN.finditer(run[0])]
+        spelled = sum(word in DIGIT_WORDS for *_, word in tokens)
+        digits = sum(len(w) if w.isdigit() else w in DIGIT_WORDS or w == "oh" for *_, w in tokens)
+        if not spelled or digits < FEWEST_DIGITS:
             continue
-        last = run.start()
-        for k, t in enumerate(tokens):
-            # A token takes the separators before it along; a dot between digits stays one.
-            word = t[0].lower()
-            if word in (".", "dot", "point"):
-                new = "."
-            else:
+        last, before = run.start(), ""
+        for start, end, word in tokens:
+            between = text[last:start]
+            if between and not (apart and before.isdigit() and word.isdigit()):
+                out.append((last, start, "." if "." in between else ""))
+            if word in ("dot", "point"):
+                out.append((start, end, "."))
+            elif not word.isdigit():
                 new = "+" if word in ("plus", "+") else "0" if word == "oh" else _digit(word)
-            end = run.start() + t.end()
-            out.append((last, end, new))
-            last = end
+                out.append((start, end, new))
+            last, before = end, word
     return out
 
 
@@ -209,6 +245,7 @@ def disguised(text: str) -> bool:
         or (("zero" in low or "five" in low or "one" in low or "two" in low or "nine" in low
              or "three" in low or "four" in low or "six" in low or "seven" in low or "eight" in low)
             and WORD_HINT.search(text) is not None)
+        or (" at " in low and AT_HINT.search(low) is not None)
         or (not text.isascii() and not PLAIN_SET.isdisjoint(text))
     )
 
@@ -217,25 +254,60 @@ def hidden(text: str, base: list[Span]) -> list[Span]:
     """Spans that only the rewritten text shows, none of which a span of ``base`` covers whole."""
     if not disguised(text):
         return []
-    seen = Rewritten(text)
-    for edits in (plain_edits, digit_edits, sign_edits):
-        seen.replace(edits(seen.text))
-    taken, out = sorted((s, e) for _, s, e in base), []
+    taken, out = sorted((s, e) for _, s, e in base), {}
     reach = list(accumulate((e for _, e in taken), max))
-    for kind, s, e in detect(seen.text):
-        start, end = seen.source(s, e)
-        # Spaces that a sign or digit took along at the edges are no part of the find.
-        own = text[start:end]
-        start, end = start + len(own) - len(own.lstrip(" ,.-")), end - (len(own) - len(own.rstrip(" ,.-")))
-        own = text[start:end].lower()
-        if kind == "email" and " at " in own and not own.endswith(TAILS):
-            continue
-        before = bisect_right(taken, (start, len(text)))
-        if not before or reach[before - 1] < end:
-            out.append((kind, start, end))
+    for seen in rewritings(text):
+        for kind, s, e in detect(seen.text):
+            start, end = seen.source(s, e)
+            # Spaces that a sign or digit took along at the edges are no part of the find.
+            own = text[start:end]
+            start, end = start + len(own) - len(own.lstrip(" ,.-")), end - (len(own) - len(own.rstrip(" ,.-")))
+            if kind == "email":
+                end = start + address_length(text[start:end])
+            before = bisect_right(taken, (start, len(text)))
+            if start < end and (not before or reach[before - 1] < end):
+                out[kind, start, end] = None
+    return list(out)
+
+
+def rewritings(text: str) -> list[Rewritten]:
+    """The rewritten text; a second one where numbers near spelled digits may also stand alone."""
+    seen = Rewritten(text)
+    seen.replace(plain_edits(text))
+    ways = [digit_edits(seen.text)]
+    if ways[0] and (other := digit_edits(seen.text, apart=True)) != ways[0]:
+        ways.append(other)
+    out = []
+    for edits in ways:
+        one = copy(seen)
+        one.replace(edits)
+        one.replace(sign_edits(one.text))
+        out.append(one)
     return out
 
 
+def address_length(own: str) -> int:
+    """The length of a found address; after a bare "at" up to its last label that can be one, or 0."""
+    parts = BARE_AT.split(own.lower(), maxsplit=1)
+    if len(parts) == 1:
+        return len(own)
+    end = len(own)
+    first = end - len(parts[1])
+    cuts = [m.span() for m in LABEL.finditer(own, first)]
+    while len(cuts) > 1:
+        label = own[slice(*cuts[-1])].lower()
+        if DISGUISED_DOT.search(own, first, cuts[-1][0]):
+            fits = label not in NO_LABELS and (label.isalpha() and len(label) > 1 or label.startswith("xn--"))
+        else:
+            fits = label in LAST_LABELS
+        if fits:
+            return cuts[-1][1]
+        cuts.pop()
+        while cuts and own[slice(*cuts[-1])].lower() == "dot":
+            cuts.pop()
+    return 0
+
+
 def listed(spans: list[Span]) -> str:
     """``kind:start:end``, by kind in the fixed order, then start, joined by commas."""
     ordered = sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
