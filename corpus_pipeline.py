@@ -32,12 +32,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of every near-duplicate class; documents without id stay."""
+    """One row of every near-duplicate class, repeated rows included: that of least doc_id."""
     prepared(spark)
-    of = unused(docs, "gone")
-    dropped = jaccard_join.classes(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(of))
-    gone = dropped.distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(of), "left_anti")
+    mark = unused(docs, "mark")
+    # Staged, so that the marks stay.
+    held = staged(docs.withColumn(mark, F.monotonically_increasing_id()), compression="zstd")
+    rows = held.select("doc_id", "text", F.col(mark).alias("mark"))
+    first = jaccard_join.first_rows(rows).withColumnRenamed("mark", mark)
+    return held.join(first, mark, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

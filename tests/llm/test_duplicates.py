@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 
+import corpus_pipeline
 from tidings.llm import chunk_dedup, grid_join, jaccard_join
 from tidings.llm.components import components
 from tidings.llm.words import shingles
@@ -93,6 +94,26 @@ def test_jaccard_join_odd_rows(odd, empty):
     assert jaccard_join.classes(empty).count() == 0
 
 
+def test_texts_that_share_an_id_or_have_none_are_compared(docs, llm):
+    draw = random.Random(21)
+    near = [family(draw, 0, 2, 400, 2) for _ in range(12)]
+    other = [" ".join(words(draw, 100)) for _ in range(8)]
+    pairs = [(7, t) for t in other] + [(None, other[0]), (3, other[1]), (7, other[2])]
+    for k, ((_, a), (_, b)) in enumerate(near):
+        pairs += [(7, a), (20 + k if k % 3 else None, b)]
+    pairs += [(None, "no id twice over " * 9), (None, "no id twice over " * 9)]
+    rows = jaccard_join.classes(docs(pairs)).collect()
+    assert len(rows) == len(pairs)
+    assert sum(r.n_links > 0 for r in rows) == 2 * len(near) + 4
+    assert sum(r.class_id == 3 for r in rows) == 2 and sum(r.class_id is None for r in rows) == 2
+    left = corpus_pipeline.one_of_near_duplicates(llm, docs(pairs), "")
+    got = sorted((r.text, r.doc_id) for r in left.collect())
+    first = {t: 7 for t in other} | {other[1]: 3} | {a: 7 for (_, a), _ in near}
+    # A class keeps one row; of near texts under one id, or none, that of least digest.
+    assert len(got) == len(other) + len(near) + 1
+    assert all(first.get(t, i) == i for t, i in got) and {t for t, _ in got} >= set(other)
+
+
 def test_posterior_keeps_pairs_at_the_threshold():
     least = jaccard_join.least_matches(0.8, 1e-7)
     draw = np.random.default_rng(1)

@@ -123,25 +123,28 @@ def block_links(group: pa.Table, threshold: float, width: int, least: list[int])
     return links.columns()
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and the digest that tells texts apart; null is the empty text."""
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text, the digest that tells texts apart, and ``more``; null is the empty text."""
     text = F.coalesce("text", F.lit(""))
-    return narrow(docs, "doc_id", "text").select(
-        "doc_id", F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text")
+    return narrow(docs, "doc_id", "text", *more).select(
+        "doc_id", F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text"), *more
     )
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, key and signature of every text (null without a word)."""
+    """doc_id, key, mark and signature of every text (null without a word)."""
 
     def work(batch):
         sigs = []
         for raw in raw_texts(batch):
             found = shingles(raw, width)
             sigs.append(signature(found).astype("<u4").tobytes() if len(found) else None)
-        return {"doc_id": batch.column(0), "key": batch.column(1), "sig": sigs}
+        return {
+            "doc_id": batch.column(0), "key": batch.column(1), "mark": batch.column("mark"), "sig": sigs
+        }
 
-    return in_arrow(keyed(docs), work, "doc_id bigint, key binary, sig binary")
+    rows = "doc_id bigint, key binary, mark bigint, sig binary"
+    return in_arrow(keyed(docs, "mark"), work, rows)
 
 
 def banded(representatives: DataFrame) -> DataFrame:
@@ -189,28 +192,60 @@ def block_groups(members: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """For every document its near-duplicate class and number of links.
 
-    ``docs`` has doc_id and text; other columns are ignored. Returned per row: ``doc_id``;
-    ``class_id``, the least doc_id reachable by links; ``n_links``, the other documents whose
-    similarity reaches the threshold, equal texts included; ``n_text_links``, the different texts
-    among those; ``copy_of``, the least doc_id with the same text; ``kept``, whether doc_id is its
-    class_id. Null text is the empty text. A text of fewer than ``width`` words is one shingle; one
-    without a word links with its equals only. Rows without doc_id link with nothing and are kept.
-    Of several texts under one id one is compared, the others link with equal texts only; repeated
-    rows give repeated rows and count once. An empty table gives no rows.
+    ``docs`` has doc_id and text; other columns are ignored. A document is a different pair of
+    doc_id and text: every text is compared, also where several share an id or have none. Returned
+    per row: ``doc_id``; ``class_id``, the least doc_id reachable by links; ``n_links``, the other
+    documents whose similarity reaches the threshold, equal texts included; ``n_text_links``, the
+    different texts among those; ``copy_of``, the least doc_id with the same text; ``kept``, whether
+    the row is the class's first document, by doc_id (null last), then digest of the text. Null text
+    is the empty text. A text of fewer than ``width`` words is one shingle; one without a word links
+    with its equals only. Where no document of a class has an id, ``class_id`` is null. Repeated rows
+    give repeated rows and count once. An empty table gives no rows.
+    """
+    unmarked = narrow(docs, "doc_id", "text").withColumn("mark", F.lit(0).cast("long"))
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    return classified(unmarked, threshold, width).select(
+        "doc_id",
+        F.col("first.doc_id").alias("class_id"),
+        (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("links", F.lit(0)).alias("n_text_links"),
+        F.col("least.doc_id").alias("copy_of"),
+        own.alias("kept"),
+    )
+
+
+def first_rows(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
+    """The ``mark`` of the first row of every class; ``docs`` has doc_id, text and a unique mark."""
+    rows = classified(docs, threshold, width)
+    return rows.filter(F.col("mark") == F.col("first.mark")).select("mark")
+
+
+def classified(docs: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Every row's doc_id, key and mark with what is known of its text and its class.
+
+    The nodes are the different texts. ``least`` is the least of the text's documents, ``first`` of
+    the class's, both by doc_id (null last), then key, then mark.
     """
     least = least_matches(threshold, TOLERANCE)
     rows = staged(signed(docs, width))
-    one = rows.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("rep"))
-    one = one.agg(F.min(F.struct("key", "sig")).alias("least")).select("rep", "least.*")
-    copies = one.groupBy("key").agg(F.min("rep").alias("rep"), F.count("*").alias("copies"))
-    reps = staged(copies.join(one.drop("key"), "rep"))
+    one = rows.groupBy("key", "doc_id").agg(F.first("sig").alias("sig"), F.min("mark").alias("mark"))
+    order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key", "mark")
+    nodes = one.groupBy("key").agg(
+        F.min(order).alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig")
+    )
+    # Staged, so that the numbers stay.
+    reps = staged(nodes.withColumn("rep", F.monotonically_increasing_id()))
     bands = banded(reps)
     members = shared_buckets(bands).join(bands.select("bucket", "rep"), "bucket")
-    members = staged(members.join(reps.select("rep", "key", "copies", "sig"), "rep"))
-    # Only the texts that share a bucket travel on, each once.
-    wanted = members.select(F.col("rep").alias("doc_id"), "key").distinct()
-    texts = keyed(docs).join(wanted, ["doc_id", "key"], "left_semi")
-    texts = texts.groupBy(F.col("doc_id").alias("rep")).agg(F.first("text").alias("text"))
+    members = staged(members.join(reps.select("rep", "key", "least", "copies", "sig"), "rep"))
+    # Only the texts that share a bucket travel on, each once: by an id and the text, so that a
+    # frequent text is spread; texts without an id meet after they are combined.
+    wanted = members.select("rep", "key", F.col("least.doc_id").alias("doc_id")).distinct()
+    with_id = keyed(docs).join(wanted.filter("doc_id IS NOT NULL"), ["doc_id", "key"])
+    without = keyed(docs.filter("doc_id IS NULL")).groupBy("key").agg(F.first("text").alias("text"))
+    without = without.join(wanted.filter("doc_id IS NULL"), "key")
+    texts = with_id.groupBy("rep").agg(F.first("text").alias("text"))
+    texts = texts.unionByName(without.select("rep", "text"))
     groups = block_groups(members.join(texts, "rep"))
 
     schema = arrow_schema(COLUMNS)
@@ -224,24 +259,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -
         F.sum("links").alias("links"), F.sum("linked").alias("linked")
     )
     joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    table_ = (
-        reps.select("key", "rep", "copies")
+    known = (
+        reps.select("key", "rep", "least", "copies")
         .join(counts, "rep", "left")
         .join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+        .withColumn("component", F.coalesce("component", "rep"))
     )
-    out = rows.select("doc_id", "key").join(table_, "key", "left")
-    known_id = F.col("doc_id").isNotNull()
-    class_id = F.when(known_id, F.coalesce("component", "rep", "doc_id"))
-    return out.select(
-        "doc_id",
-        class_id.alias("class_id"),
-        F.when(known_id, F.coalesce("linked", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1)
-        .otherwise(0)
-        .alias("n_links"),
-        F.when(known_id, F.coalesce("links", F.lit(0))).otherwise(0).alias("n_text_links"),
-        F.when(known_id, F.coalesce("rep", "doc_id")).alias("copy_of"),
-        F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"),
-    )
+    firsts = known.groupBy("component").agg(F.min("least").alias("first"))
+    return rows.select("doc_id", "key", "mark").join(known.join(firsts, "component"), "key")
 
 
 @query("op8_bayes_jaccard_join")
