@@ -5,6 +5,7 @@ from tidings.llm import (  # noqa: F401
     grid_join,
     jaccard_join,
     merge_replay,
+    mixing,
     nb_svm,
     packing,
     personal_data,
