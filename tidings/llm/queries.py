@@ -11,6 +11,7 @@ from tidings.llm import (  # noqa: F401
     personal_data,
     quality_rules,
     sharding,
+    spelling,
     token_files,
 )
 from tidings.llm.catalog import ORACLES, QUERIES  # noqa: F401
