@@ -1,6 +1,7 @@
 """All registered queries of the package: importing this module registers them."""
 
 from tidings.llm import (  # noqa: F401
+    alignment,
     chunk_dedup,
     grid_join,
     jaccard_join,
