@@ -256,7 +256,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, size: int = SLICE) -> Dat
     whole = fragments.join(failed, "row", "left_anti")
     sliced_blocks = staged(long_blocks(whole), compression="zstd")
     blocks = short.unionByName(sliced_blocks)
-    found = looked_up(blocks, pair_counts(blocks))
+    # Staged: short and long documents are taken from it.
+    found = staged(looked_up(blocks, pair_counts(blocks)))
 
     numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
     summed = found.filter("row IS NOT NULL").groupBy("row").agg(*(F.sum(c).alias(c) for c in numbers))

@@ -22,7 +22,7 @@ RUN = re.compile(rf"[{WHITE}]{{2}}|\A[{WHITE}]|[{WHITE}]\Z")
 #: A chunk that may stand between others in one string.
 JOINABLE = re.compile(rf"[ \n][^{WHITE}](?:.*[^{WHITE}])?", re.DOTALL)
 #: Chunks kept by a worker; beyond it the memory is emptied, which changes no result.
-KEPT_CHUNKS = 250_000
+KEPT_CHUNKS = 400_000
 #: Characters of new chunks tokenized as one string.
 JOINED = 1 << 16
 
@@ -109,6 +109,8 @@ class Aligner:
         ]
         self.a_size = np.array(list(map(len, self.a_bytes)))
         self.b_size = np.array(list(map(len, self.b_bytes)))
+        self.most = max(len(self.a_bytes), len(self.b_bytes))
+        self.names = [b"%d%b" % (i, after) for after in (b",", b"|", b";", b"") for i in range(self.most)]
         # Texts may be cut at CUT if no piece joins a space to what is before it, or a line end to anything.
         self.cuts = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
         self._forget()
@@ -171,64 +173,68 @@ class Aligner:
 
     def _learn(self, fresh: list[str]) -> None:
         counts, links = [], []
-
-        def add(chunk, n_a, n_b, found, group, failed=0):
-            self.numbers[chunk] = len(self.groups)
-            self.groups.append(group)
-            counts.append((n_a, n_b, len(found), failed))
-            links.append(found)
-
-        def alone(chunk):
-            found = self.ended(chunk)
-            if found is None:
-                add(chunk, 0, 0, np.zeros(0, dtype=np.int64), b"", 1)
-            else:
-                whole, own = fragment(*found)
-                add(chunk, len(found[0]), len(found[1]), own, finished(whole))
-
         waiting, held = [], 0
         for chunk in fresh:
             if not (self.cuts and JOINABLE.fullmatch(chunk)):
-                alone(chunk)
+                self._learn_alone(chunk, counts, links)
                 continue
             waiting.append(chunk)
             held += len(chunk)
             if held >= JOINED:
-                self._learn_joined(waiting, add, alone)
+                self._learn_joined(waiting, counts, links)
                 waiting, held = [], 0
         if waiting:
-            self._learn_joined(waiting, add, alone)
+            self._learn_joined(waiting, counts, links)
         if counts:
-            self.counts = np.concatenate([self.counts, np.array(counts, dtype=np.int64)])
+            new = np.concatenate(counts)
+            self.counts = np.concatenate([self.counts, new])
             self.flat = np.concatenate([self.flat, *links])
-            sizes = np.cumsum([c[2] for c in counts])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + sizes])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(new[:, 2])])
 
-    def _learn_joined(self, chunks, add, alone) -> None:
+    def _learn_alone(self, chunk: str, counts: list, links: list) -> None:
+        self.numbers[chunk] = len(self.groups)
+        found = self.ended(chunk)
+        if found is None:
+            self.groups.append(b"")
+            counts.append(np.array([[0, 0, 0, 1]]))
+            return
+        whole, own = fragment(*found)
+        self.groups.append(finished(whole))
+        counts.append(np.array([[len(found[0]), len(found[1]), len(own), 0]]))
+        links.append(own)
+
+    def _learn_joined(self, chunks: list[str], counts: list, links: list) -> None:
         """Many chunks as one string; where they end shows in the offsets."""
         found = self.ended("".join(chunks))
         if found is None:
             for chunk in chunks:
-                alone(chunk)
+                self._learn_alone(chunk, counts, links)
             return
         a, b, a_ends, b_ends = found
         ends = np.cumsum([len(c.encode()) for c in chunks])
         common = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        x, y = np.searchsorted(a_ends, common) + 1, np.searchsorted(b_ends, common) + 1
-        links = a[x - 1] << 32 | b[y - 1]
+        # Of each group the first tokens, and one more at the end.
+        x = np.concatenate([[0], np.searchsorted(a_ends, common) + 1])
+        y = np.concatenate([[0], np.searchsorted(b_ends, common) + 1])
         last = np.searchsorted(common, ends)
         assert (common[last] == ends).all()
-        names_a, names_b = (list(map(b"%d".__mod__, ids.tolist())) for ids in (a, b))
-        x, y = [0, *x.tolist()], [0, *y.tolist()]
-        groups = [
-            b",".join(names_a[i:j]) + b"|" + b",".join(names_b[k:m])
-            for i, j, k, m in zip(x, x[1:], y, y[1:])
-        ]
-        first = 0
-        for chunk, at in zip(chunks, (last + 1).tolist()):
-            sizes = x[at] - x[first], y[at] - y[first]
-            add(chunk, *sizes, links[first:at], b";".join(groups[first:at]))
-            first = at
+        # Tokens in the order in which they are written, each with what follows it.
+        group_a = np.repeat(np.arange(len(common)), np.diff(x))
+        group_b = np.repeat(np.arange(len(common)), np.diff(y))
+        names = np.empty(len(a) + len(b), dtype=np.int64)
+        after_a, after_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+        after_a[x[1:] - 1], after_b[y[1:] - 1] = 1, 2
+        after_b[y[last + 1] - 1] = 3
+        names[np.arange(len(a)) + y[group_a]] = after_a * self.most + a
+        names[np.arange(len(b)) + x[group_b + 1]] = after_b * self.most + b
+        written = list(map(self.names.__getitem__, names.tolist()))
+        cuts = [0, *(x[last + 1] + y[last + 1]).tolist()]
+        self.numbers.update(zip(chunks, range(len(self.groups), len(self.groups) + len(chunks))))
+        self.groups.extend(b"".join(written[i:j]) for i, j in zip(cuts, cuts[1:]))
+        bounds = np.concatenate([[0], last + 1])
+        sizes = [np.diff(x[bounds]), np.diff(y[bounds]), np.diff(bounds), np.zeros_like(last)]
+        counts.append(np.stack(sizes, axis=1))
+        links.append(a[x[1:] - 1] << 32 | b[y[1:] - 1])
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
