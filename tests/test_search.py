@@ -22,11 +22,11 @@ NOTES = [
 def test_manifest_takes_each_number_once(spark, tmp_path):
     first, second = (Manifest(spark, str(tmp_path / "m")) for _ in range(2))
     assert first.state() == (0, {})
-    assert first.update(lambda s: s | {"a": 1}) == 1
+    assert first.update(lambda s, _: s | {"a": 1}) == 1
 
-    def slow(state):
+    def slow(state, _):
         if "b" not in state:
-            assert second.update(lambda s: s | {"b": 2}) >= 2  # comes in between
+            assert second.update(lambda s, _: s | {"b": 2}) >= 2  # comes in between
         return state | {"c": len(state)}
 
     first.update(slow)
@@ -34,9 +34,9 @@ def test_manifest_takes_each_number_once(spark, tmp_path):
     assert first.state(before=2) == (1, {"a": 1})
     (tmp_path / "m" / "000000000099.json").touch()  # of a writer that was lost
     assert first.state()[1] == {"a": 1, "b": 2, "c": 2}
-    assert first.update(lambda s: {}) == 100
+    assert first.update(lambda s, n: {}) == 100
 
-    def refuse(state):
+    def refuse(state, _):
         raise Conflict("changed")
 
     with pytest.raises(Conflict):

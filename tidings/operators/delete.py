@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidings.operators.sources import require_known
+from tidings.sources.store import written
 
 
 @dataclass(frozen=True)
@@ -66,9 +67,10 @@ def delete_from_store(
     other sources are not read.
     """
     require_known(source, sites)
-    version = store.next_version()
-    stored = store.read([source], before=version)
+    base = store.state()
+    parts = store.parts_of_sources(base, [source])
+    stored = store.read_parts(base, parts)
     gone = delete_range(stored, "source_code", source, "created_at", before, after, references)
     deleted, blocked = gone.deleted.count(), gone.blocked.count()
-    store.write(gone.kept, [source], version)
+    version = store.replace(gone.kept, parts, base, sources=written([source]))
     return DeleteResult(version, deleted, blocked)

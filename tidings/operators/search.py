@@ -112,7 +112,7 @@ class SearchIndex:
         own.write.mode("overwrite").parquet(f"{self.path}/notes/{segment}")
         fresh = self.spark.read.schema(NOTES).parquet(f"{self.path}/notes/{segment}")
 
-        def change(state):
+        def change(state, _):
             """Counted against the newest state, so also what a run beside this one has added."""
             before = self._live(state.get("segments", []))
             replaced = before.join(fresh.select("id"), "id", "left_semi")
@@ -145,7 +145,7 @@ class SearchIndex:
         notes = live.select("id", F.lit(merged).alias("segment"), "lengths", F.lit(True).alias("live"))
         notes.write.mode("overwrite").parquet(f"{self.path}/notes/{merged}")
 
-        def change(now):
+        def change(now, _):
             later = now["segments"][len(segments) :]
             if now["segments"][: len(segments)] != segments:
                 raise RuntimeError("another run has merged the index")

@@ -12,6 +12,7 @@ from tidings.operators.dedup import first_seen
 from tidings.operators.upsert import changed, classify, merge
 from tidings.plans.catalog import query, sql_content_hash, sql_external_id, table
 from tidings.session import shared_folder
+from tidings.sources.parts import PartTable
 from tidings.streaming.ingest import consume_feed, keyed_upsert_handler, page_stream, run_available
 
 PAGES_SCHEMA = "page_id bigint, url string, html string"
@@ -61,13 +62,14 @@ def stream_upsert(spark, sf):
     """Two file drops of the same pages, one micro-batch each: the second changes nothing."""
     folder = _stream_folder(spark)
     pages = table(spark, sf, "pages")
-    handler = keyed_upsert_handler(f"{folder}/table", _records, _merged, TABLE_SCHEMA)
+    bucket = {"bucket": F.pmod(F.xxhash64("external_id"), F.lit(8)).cast("int")}
+    stored = PartTable(spark, f"{folder}/table", TABLE_SCHEMA, bucket)
+    handler = keyed_upsert_handler(stored, _records, _merged)
     for _ in range(2):
         pages.write.mode("append").parquet(f"{folder}/pages")
         stream = page_stream(spark, f"{folder}/pages", PAGES_SCHEMA)
         run_available(stream, f"{folder}/checkpoint", handler).awaitTermination()
-    done = spark.read.schema(TABLE_SCHEMA).parquet(f"{folder}/table/batch=1")
-    return done.select("external_id", "url", "content_hash")
+    return stored.read_parts(stored.state()).select("external_id", "url", "content_hash")
 
 
 @query(
