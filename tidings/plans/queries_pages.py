@@ -314,17 +314,17 @@ def _crawled(spark, sf):
     return posts_of(links, boards.post_pages(documents), SITES)
 
 
-@query(
-    "crawl_notices",
-    f"""
+SQL_CRAWLED = f"""
     {_SQL_POSTS}
     SELECT source_code, external_id, post_title AS title, url,
            {sql_content_hash('post_title', 'html')} AS content_hash,
            strftime(make_date(y, m, dd), '%Y-%m-%d') AS published_on
     FROM judged WHERE reason IS NULL
     QUALIFY row_number() OVER (PARTITION BY source_code, external_id ORDER BY list_page_id, pos) = 1
-    """,
-)
+"""
+
+
+@query("crawl_notices", SQL_CRAWLED)
 def crawl_notices(spark, sf):
     """The whole way: list pages, links, detail pages, records, first copy per key."""
     posts, _ = _crawled(spark, sf)

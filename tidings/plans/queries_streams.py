@@ -10,10 +10,21 @@ from tidings.functions.text import content_hash, visible_text
 from tidings.functions.urls import external_id
 from tidings.operators.dedup import first_seen
 from tidings.operators.upsert import changed, classify, merge
+from tidings.plans import boards
 from tidings.plans.catalog import query, sql_content_hash, sql_external_id, table
+from tidings.plans.queries_pages import SQL_CRAWLED
+from tidings.plans.sites import SITES
+from tidings.schema import PAGES, conform
 from tidings.session import shared_folder
 from tidings.sources.parts import PartTable
-from tidings.streaming.ingest import consume_feed, keyed_upsert_handler, page_stream, run_available
+from tidings.sources.store import NoticeStore
+from tidings.streaming.ingest import (
+    consume_feed,
+    crawl_handler,
+    keyed_upsert_handler,
+    page_stream,
+    run_available,
+)
 
 PAGES_SCHEMA = "page_id bigint, url string, html string"
 TABLE_SCHEMA = (
@@ -44,6 +55,32 @@ def _merged(stored, incoming):
     )
 
 
+def _drop(pages, list_pages, folder: str) -> None:
+    """Add pages to the folder that a stream reads, lists marked as such."""
+    marked = ((list_pages, True), (pages, False))
+    one, other = (conform(p.withColumn("is_list", F.lit(is_list)), DROPPED) for p, is_list in marked)
+    one.unionByName(other).write.mode("append").parquet(folder)
+
+
+DROPPED = f"{PAGES}, is_list boolean"
+
+
+@query("stream_crawl", SQL_CRAWLED)
+def stream_crawl(spark, sf):
+    """Lists before their posts and posts before their lists, in two drops, give one crawl's notices."""
+    folder = _stream_folder(spark)
+    store = NoticeStore(spark, f"{folder}/store").create()
+    handler = crawl_handler(store, SITES, F.col("is_list"), lambda: "2024-06-01 00:00:00")
+    documents = table(spark, sf, "documents")
+    even, odd = (documents.filter(F.col("doc_id") % 2 == k) for k in (0, 1))
+    for first, second in ((even, odd), (odd, even)):
+        _drop(boards.post_pages(second), boards.list_pages(first), f"{folder}/pages")
+        stream = page_stream(spark, f"{folder}/pages", DROPPED)
+        run_available(stream, f"{folder}/checkpoint", handler).awaitTermination()
+    published = F.date_format("published_at", "yyyy-MM-dd").alias("published_on")
+    return store.read().select("source_code", "external_id", "title", "url", "content_hash", published)
+
+
 def _stream_folder(spark) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
