@@ -1,8 +1,9 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from tidings.llm import chunk_dedup, grid_join, jaccard_join
@@ -234,3 +235,39 @@ def test_grid_join_odd_vectors(llm):
     assert by_id[2].component_id == by_id[10].component_id == 1 and by_id[2].n_links == 2
     assert all(by_id[k].n_links == 0 and by_id[k].kept for k in (3, 4, 5, 6, 7, 8, 9, None))
     assert grid_join.near_duplicates(vectors_like(llm, [])).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_grid_join_of_lengths_and_shared_ids(llm, kind, monkeypatch):
+    """Every length is joined, and every vector under an id; against all pairs."""
+    monkeypatch.setattr(grid_join, "BLOCK", 16)
+    monkeypatch.setattr(grid_join, "LEAF", 4)
+    draw = np.random.default_rng(9)
+    rows = []
+    for length, n in ((2, 40), (3, 150), (7, 90), (40, 60)):
+        centres = draw.normal(size=(6, length))
+        x = np.repeat(centres, n // 6 + 1, axis=0)[:n] + draw.normal(size=(n, length)) * 0.15
+        rows += [(int(draw.integers(0, 200)), v.astype(np.float32).tolist()) for v in x]
+    rows += [(7, [1.0, 0.0]), (7, [0.0, 1.0, 0.0]), (9, [0.0, 3.0, 0.0]), (900, [5.0, 0.0]), (7, [1.0, 0.0])]
+    frame = llm.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(5)
+    out = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in grid_join.near_duplicates(frame).collect())
+
+    nodes = sorted({(i, tuple(v)) for i, v in rows})
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in nodes]
+    links = [
+        (a, b)
+        for a in range(len(nodes))
+        for b in range(a)
+        if len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95
+    ]
+    root = brute_components(range(len(nodes)), links)
+    least = {}
+    for k, (vec_id, _) in enumerate(nodes):
+        least[root[k]] = min(vec_id, least.get(root[k], vec_id))
+    count = Counter(k for pair in links for k in pair)
+    place = {node: k for k, node in enumerate(nodes)}
+    want = Counter()
+    for vec_id, v in rows:
+        k = place[vec_id, tuple(v)]
+        want[vec_id, count[k], least[root[k]], vec_id == least[root[k]]] += 1
+    assert len(links) > 1000 and out == want

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,73 +28,87 @@ THRESHOLD = 0.95
 #: Principal dimensions of the grid that orders, and of the boxes that exclude.
 GRID_DIMS, BOX_DIMS = 4, 8
 #: Vectors of a block: a task holds two. Within it, intervals up to a leaf are compared at once.
-BLOCK, LEAF = 4096, 512
+BLOCK, LEAF = 8192, 512
+#: Rounds of the iteration that finds the principal dimensions.
+ROUNDS = 3
 #: Children of an interval of blocks.
 FAN = 8
 #: Half the width of the band around the threshold that single precision may misjudge.
 SLACK = 1e-4
 
 
-def unit_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, key and unit vector (doubles, little-endian) of the usable vectors."""
+def usable_vectors(rows: DataFrame) -> DataFrame:
+    """vec_id, and of usable vectors key, raw values (little-endian, as wide as they come) and size."""
+    wide = "double" in dict(rows.dtypes)["embedding"]
 
     def work(batch):
-        ids, keys, units, sizes = [], [], [], []
+        keys, raws, sizes = [], [], []
         for name, own in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if name is None or own.values is None or own.values.null_count or not len(own.values):
-                continue
-            v = own.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-            top = np.abs(v).max()
-            if not np.isfinite(top) or top == 0 or np.isnan(v).any():
-                continue
-            keys.append(hashlib.blake2b(v.tobytes(), digest_size=16).digest())
-            u = v / top  # first by the largest component, so that no square overflows
-            ids.append(name)
-            units.append((u / math.sqrt(float(u @ u))).astype("<f8").tobytes())
-            sizes.append(len(v))
-        return {"vec_id": ids, "key": keys, "unit": units, "size": sizes}
-
-    schema = "vec_id bigint, key binary, unit binary, size int"
-    return in_arrow(narrow(rows, "vec_id", "embedding"), work, schema)
-
-
-def matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(len(column), -1)
-
-
-def principal_axes(reps: DataFrame, dims: int, wanted: int) -> np.ndarray:
-    """Leading principal dimensions as columns; only sums over all vectors reach the driver."""
-
-    def work(batch):
-        u = matrix(batch.column("unit"))
-        flat = np.concatenate([(u.T @ u).ravel(), u.sum(axis=0), [len(u)]])
-        return {"at": np.arange(len(flat)), "value": flat}
-
-    parts = in_arrow(reps.select("unit"), work, "at int, value double")
-    got = {r.at: r.s for r in parts.groupBy("at").agg(F.sum("value").alias("s")).collect()}
-    flat = np.array([got[k] for k in range(dims * dims + dims + 1)])
-    mean = flat[-1 - dims : -1] / flat[-1]
-    spread = flat[: dims * dims].reshape(dims, dims) / flat[-1] - np.outer(mean, mean)
-    # Rounded, so that sums taken in another order give the same axes.
-    return np.linalg.eigh(np.round(spread, 12))[1][:, ::-1][:, :wanted]
+            v = None
+            if name is not None and own.values is not None and len(own.values) and not own.values.null_count:
+                v = own.values.to_numpy(zero_copy_only=False) + 0.0
+                if not np.isfinite(v).all() or not v.any():
+                    v = None
+            known = v is not None
+            keys.append(hashlib.blake2b(v.astype("<f8").tobytes(), digest_size=16).digest() if known else None)
+            raws.append(v.astype("<f8" if wide else "<f4").tobytes() if known else None)
+            sizes.append(len(v) if known else None)
+        return {"vec_id": batch.column(0), "key": keys, "raw": raws, "size": sizes}
+
+    return in_arrow(narrow(rows, "vec_id", "embedding"), work, "vec_id bigint, key binary, raw binary, size int")
+
+
+def unit_vectors(raws, size: int) -> np.ndarray:
+    """Vectors of length one, in double precision, from raw values."""
+    joined = b"".join(raws)
+    kind = "<f4" if len(joined) == 4 * size * len(raws) else "<f8"
+    v = np.frombuffer(joined, dtype=kind).reshape(len(raws), size).astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True, initial=0)  # first, so that no square overflows
+    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+
+
+def principal_axes(reps: DataFrame, size: int, wanted: int) -> np.ndarray:
+    """Leading principal dimensions as columns, by subspace iteration.
+
+    A round sums each vector, weighted by its projections, so ``size * (wanted + 1)`` numbers reach the
+    driver. Any axes give right results; better ones exclude more.
+    """
+    axes = np.linalg.qr(np.random.default_rng(20260101).normal(size=(size, wanted)))[0]
+    for _ in range(ROUNDS):
+
+        def work(batch, axes=axes):
+            u = unit_vectors(batch.column("raw").to_pylist(), size)
+            weights = np.hstack([u @ axes, np.ones((len(u), 1))])
+            return {"at": np.arange(size * (wanted + 1)), "value": (u.T @ weights).ravel(), "n": [len(u)] * (size * (wanted + 1))}
+
+        parts = in_arrow(reps.select("raw"), work, "at int, value double, n bigint")
+        rows = parts.groupBy("at").agg(F.sum("value").alias("s"), F.sum("n").alias("n")).collect()
+        sums, n = np.zeros(size * (wanted + 1)), rows[0]["n"]
+        sums[[r["at"] for r in rows]] = [r["s"] for r in rows]
+        sums = sums.reshape(size, wanted + 1) / n
+        mean = sums[:, -1]
+        moved = sums[:, :-1] - np.outer(mean, mean @ axes)
+        # Rounded, so that sums taken in another order give the same axes.
+        axes = np.linalg.qr(np.round(moved, 12) + 1e-9 * axes)[0]
+    return axes
 
 
 def in_grid_order(reps: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
     """Representatives with their projections and the block of their place in the grid order."""
 
     def work(batch):
-        leading = matrix(batch.column("unit")) @ axes
+        leading = unit_vectors(batch.column("raw").to_pylist(), len(axes)) @ axes
         cells = np.floor(leading[:, :GRID_DIMS] / eps).astype(np.int32)
         return {
             "rep": batch.column("rep"),
             "copies": batch.column("copies"),
-            "unit": batch.column("unit"),
+            "raw": batch.column("raw"),
             "leading": [r.astype("<f8").tobytes() for r in leading],
             "cell": list(cells),
         }
 
-    rows = "rep bigint, copies bigint, unit binary, leading binary, cell array<int>"
-    placed = in_arrow(reps.select("rep", "copies", "unit"), work, rows)
+    rows = "rep bigint, copies bigint, raw binary, leading binary, cell array<int>"
+    placed = in_arrow(reps.select("rep", "copies", "raw"), work, rows)
     ordered = staged(placed.orderBy("cell", "rep").withColumn("at", F.monotonically_increasing_id()))
     # The id is the number of a sorted partition and the place in it: prefix sums make it a rank.
     part = F.shiftright("at", 33)
@@ -103,11 +118,15 @@ def in_grid_order(reps: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
     place = F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)
     ranked = ordered.withColumn("part", part).join(bases, "part")
     return ranked.select(
-        "rep", "copies", "unit", "leading", place.alias("place"),
+        "rep", "copies", "raw", "leading", place.alias("place"),
         F.floor(place / BLOCK).cast("long").alias("block"),
     )
 
 
+def matrix(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(len(column), -1)
+
+
 def boxes(ranked: DataFrame, dims: int) -> DataFrame:
     """Bounding box of each block in the leading dimensions."""
 
@@ -222,70 +241,73 @@ class Intervals:
         self.links.add(x[on], y[on])
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """For every vector its number of links and the component it belongs to.
-
-    ``vectors`` has vec_id and embedding (an array of floats or doubles); other columns are
-    ignored. Returned per row: ``vec_id``, ``n_links``, ``component_id`` (the least vec_id reachable
-    by links) and ``kept`` (whether it is the row's own). A vector that is null, empty, zero, or holds
-    a null or non-finite component links with nothing; so does one whose length is not the most
-    frequent one. A null vec_id has a null component and is kept; rows that repeat an id with its
-    vector count once. An empty table gives no rows.
-    """
+def links_of_size(reps: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links between vectors of one length (rep, copies, raw), summed up by block pairs."""
     eps = math.sqrt(2 - 2 * threshold) * (1 + 1e-9)
-    held = staged(unit_vectors(vectors))
-    sizes = held.groupBy("size").count().orderBy(F.desc("count"), "size").first()
-    out = narrow(vectors, "vec_id")
-    if sizes is None:
-        return _result(out, None)
-    usable = held.filter(F.col("size") == sizes["size"])
-    one = usable.groupBy("vec_id").agg(F.min("key").alias("key"))
-    copies = one.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    first = usable.select(F.col("vec_id").alias("rep"), "key", "unit").dropDuplicates(["rep", "key"])
-    reps = staged(copies.join(first, ["rep", "key"]))
-    axes = principal_axes(reps, sizes["size"], min(BOX_DIMS, sizes["size"]))
+    axes = principal_axes(reps, size, min(BOX_DIMS, size))
     ranked = staged(in_grid_order(reps, axes, eps))
     pairs = near_blocks(staged(boxes(ranked, axes.shape[1])), eps)
-    tagged = pairs.select(
-        "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")
-    )
-    groups = ranked.join(tagged, "block")
+    tagged = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    # Raw values travel; the rest is taken from them again.
+    groups = ranked.drop("leading").join(tagged, "block")
     schema = arrow_schema(COLUMNS)
 
     def work(group: pa.Table) -> pa.Table:
         group = group.sort_by("place")
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         links = Links(group.column("rep").to_numpy(), group.column("copies").to_numpy())
-        seq = Intervals(
-            matrix(group.column("unit")), matrix(group.column("leading")), threshold, eps, links
-        )
+        unit = unit_vectors(group.column("raw").to_pylist(), size)
+        seq = Intervals(unit, unit @ axes, threshold, eps, links)
         middle = int(np.searchsorted(group.column("block").to_numpy(), j)) if i != j else 0
         n = group.num_rows
         seq.join((0, n), (0, n)) if i == j else seq.join((0, middle), (middle, n))
         found = links.columns()
         return pa.table([pa.array(found[f.name], f.type) for f in schema], schema=schema)
 
-    found = staged(groups.groupBy("i", "j").applyInArrow(work, COLUMNS))
+    return staged(groups.groupBy("i", "j").applyInArrow(work, COLUMNS))
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """For every vector its number of links and the component it belongs to.
+
+    ``vectors`` has vec_id and embedding (an array of floats or doubles); other columns are
+    ignored. Returned per row: ``vec_id``, ``n_links``, ``component_id`` (the least vec_id reachable
+    by links) and ``kept`` (whether it is the row's own). A vector that is null, empty, zero, or holds
+    a null or non-finite component links with nothing, and neither does one without a vec_id, whose
+    component is null and which is kept. Vectors of different lengths do not link; those of each length
+    are joined by themselves. Different vectors under one vec_id are vectors of their own, each with
+    its links; rows that repeat an id with its vector count once. An empty table gives no rows.
+    """
+    held = staged(usable_vectors(vectors))
+    usable = held.filter("key IS NOT NULL")
+    copies = usable.select("key", "vec_id").distinct().groupBy("key").agg(
+        F.min("vec_id").alias("least"), F.count("*").alias("copies")
+    )
+    raws = usable.groupBy("key").agg(F.first("raw").alias("raw"), F.first("size").alias("size"))
+    # Numbered in order of their ids: of linked vectors the least number is that of the least id.
+    ordered = copies.join(raws, "key").orderBy("least", "key")
+    reps = staged(ordered.withColumn("rep", F.monotonically_increasing_id()))
+    sizes = [r[0] for r in reps.select("size").distinct().collect()]  # one row for each length there is
+    none = held.sparkSession.createDataFrame([], COLUMNS)
+    each = [links_of_size(reps.filter(F.col("size") == n), n, threshold) for n in sorted(sizes)]
+    found = reduce(DataFrame.unionByName, each, none)
     counts = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    known = (
-        reps.select("key", "rep", "copies")
-        .join(counts, "rep", "left")
-        .join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    names = reps.select(F.col("rep").alias("component"), F.col("least").alias("component_id"))
+    named = staged(joined.join(names, "component").select(F.col("node").alias("rep"), "component_id"))
+    known = reps.select("key", "rep", "least", "copies").join(counts, "rep", "left").join(named, "rep", "left")
+    # Staged, so that its size is known and a frequent key of the rows can be split.
+    known = staged(
+        known.select(
+            "key",
+            (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("links"),
+            F.coalesce("component_id", "least").alias("least"),
+        )
     )
-    return _result(out, one.join(known, "key"))
-
-
-def _result(rows: DataFrame, known: DataFrame | None) -> DataFrame:
-    if known is None:
-        links, component = F.lit(0).cast("long"), F.col("vec_id")
-    else:
-        rows = rows.join(known, "vec_id", "left")
-        links = F.coalesce(F.coalesce("linked", F.lit(0)) + F.col("copies") - 1, F.lit(0))
-        component = F.coalesce("component", "rep", "vec_id")
-    return rows.select(
+    component = F.coalesce("least", "vec_id")
+    return held.select("vec_id", "key").join(known, "key", "left").select(
         "vec_id",
-        links.alias("n_links"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
     )
