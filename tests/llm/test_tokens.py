@@ -23,9 +23,7 @@ ALPHABET = "aaabeé́ß ÀÈ漢か​\x1c\x85\xa0 \n\t  \r'sdmtre12٣Ⅷ😀<|>.
 
 @pytest.fixture(scope="module")
 def library():
-    found = Tokenizer.from_file(VOCABULARY)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(VOCABULARY)
 
 
 @pytest.fixture(scope="module")
@@ -44,11 +42,29 @@ def scrambled(n, seed):
 
 def test_word_ids_equal_the_library(library):
     texts = [t or "" for _, t in ODD] + scrambled(4000, 1) + ["<|endoftext|> it's we'll 12'd,"]
+    texts += ["say <|endoftext|> now", "a<|StartOfText|>b <| <|endoftext", "x <|ENDOFTEXT|>", "<|endoftext|>" * 3]
     got = WordEncoder(VOCABULARY).encode(texts, 2)
     for text, ids in zip(texts, got):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids + [2], text
 
 
+def test_special_strings_as_text(library):
+    """As an option they are ordinary text."""
+    plain = Tokenizer.from_file(VOCABULARY)
+    plain.encode_special_tokens = True
+    text = "say <|endoftext|> now"
+    (got,) = WordEncoder(VOCABULARY, special_as_text=True).encode([text])
+    assert got.tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert got.tolist() != library.encode(text, add_special_tokens=False).ids
+
+
+def test_every_id_comes_back_from_files(docs, tmp_path):
+    ids = [-(1 << 63), (1 << 63) - 1, 0, None, None, -1]
+    manifest = token_files.write_tokens(docs([(i, "word") for i in ids]), str(tmp_path / "c"), VOCABULARY)
+    rows = token_files.read_tokens(manifest, str(tmp_path / "c")).collect()
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.start)] == [None, None, -(1 << 63), -1, 0, (1 << 63) - 1]
+
+
 def test_forgetting_words_changes_no_id(monkeypatch):
     texts = scrambled(300, 2)
     want = [i.tolist() for i in WordEncoder(VOCABULARY).encode(texts)]

@@ -26,9 +26,8 @@ from tidings.llm.catalog import arrow_schema, narrow, query, record_batch, table
 from tidings.llm.word_ids import encoder
 from tidings.session import shared_folder, staged
 
-#: What stands in the files for a document without an id.
-NO_ID = -(1 << 63)
-MANIFEST = "part int, n_docs bigint, n_tokens bigint, width int"
+#: Documents without an id are the first ``n_unnamed`` of a part; in its file of ids they are 0.
+MANIFEST = "part int, n_docs bigint, n_unnamed bigint, n_tokens bigint, width int"
 ROWS = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 
 
@@ -69,7 +68,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end: int = 2) ->
         own = {s: f"{name}.{s}.{attempt}" for s in ("ids", "off", "doc")}
         words = encoder(vocabulary)
         kind = "<u2" if words.size() <= 1 << 16 else "<u4"
-        n_docs = at = 0
+        n_docs = n_unnamed = at = 0
         with (
             system.open_output_stream(own["ids"]) as ids_file,
             system.open_output_stream(own["off"]) as off_file,
@@ -81,13 +80,17 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end: int = 2) ->
                     ids_file.write(ids.astype(kind).tobytes())
                 offsets = at + np.cumsum([len(i) for i in found], dtype="<i8")
                 off_file.write(offsets.tobytes())
-                names = [NO_ID if d is None else d for d in batch.column(0).to_pylist()]
-                doc_file.write(np.array(names, dtype="<i8").tobytes())
+                n_unnamed += batch.column(0).null_count
+                doc_file.write(batch.column(0).fill_null(0).to_numpy().astype("<i8").tobytes())
                 n_docs, at = n_docs + len(found), int(offsets[-1])
         for suffix, written in own.items():
             system.move(written, f"{name}.{suffix}")
         yield record_batch(
-            {"part": [part], "n_docs": [n_docs], "n_tokens": [at], "width": [int(kind[-1])]}, schema
+            {
+                "part": [part], "n_docs": [n_docs], "n_unnamed": [n_unnamed],
+                "n_tokens": [at], "width": [int(kind[-1])],
+            },
+            schema,
         )
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
@@ -126,7 +129,7 @@ def _read(manifest, folder, rows, shown, batch_tokens):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = opened(folder)
-        for part, width, base in (x for b in batches for x in zip(*(c.to_pylist() for c in b))):
+        for part, unnamed, width, base in (x for b in batches for x in zip(*(c.to_pylist() for c in b))):
             name = posixpath.join(path, part_name(part))
             ids = mapped(system, f"{name}.ids", f"<u{width}")
             offsets = mapped(system, f"{name}.off", "<i8")
@@ -140,7 +143,7 @@ def _read(manifest, folder, rows, shown, batch_tokens):
                 ]
                 yield record_batch(
                     {
-                        "doc_id": [None if d == NO_ID else d for d in docs[first:last].tolist()],
+                        "doc_id": pa.array(docs[first:last], mask=np.arange(first, last) < unnamed),
                         "start": base + offsets[first:last],
                         "n_tokens": np.diff(offsets[first : last + 1]),
                     }
@@ -150,7 +153,7 @@ def _read(manifest, folder, rows, shown, batch_tokens):
                 first = last
 
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = manifest.select("part", "width", "base").repartition(parts, "part")
+    spread = manifest.select("part", "n_unnamed", "width", "base").repartition(parts, "part")
     return spread.mapInArrow(run, rows)
 
 

@@ -2,7 +2,9 @@
 
 No token of such a vocabulary crosses white space, so a text's ids are those of its words between
 spaces and line ends in turn. Each task encodes every different word once, by the library, and
-keeps the result: invented or rare words cost the merges once, not at every place.
+keeps the result: invented or rare words cost the merges once, not at every place. A text that may hold
+the string of a special token, which the library takes for that token wherever it stands, goes to the
+library whole.
 """
 
 from __future__ import annotations
@@ -41,11 +43,15 @@ class Numbers(dict):
 
 
 class WordEncoder:
-    def __init__(self, path: str):
+    """``special_as_text`` makes special tokens' strings ordinary text, which the library's call does not."""
+
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # in a text, their strings are ordinary text
+        self.library.encode_special_tokens = special_as_text
+        added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
+        self.special = [] if special_as_text else added
         ends = [t.endswith("</w>") for t in map(self.library.id_to_token, range(self.size()))]
         self.closes = np.array(ends)
         self._forget()
@@ -64,12 +70,25 @@ class WordEncoder:
         if len(self.numbers) > KEPT_WORDS:
             self._forget()
         look = self.numbers.__getitem__
+        whole = [t for t in texts if self.special and self._may_hold_special(t)]
+        whole = dict(zip(whole, self._alone(whole))) if whole else {}
         parts = [
-            np.fromiter(map(look, t.replace("\n", " ").split(" ")), dtype=np.int64) for t in texts
+            None if t in whole else np.fromiter(map(look, t.replace("\n", " ").split(" ")), dtype=np.int64)
+            for t in texts
         ]
         self._learn()
         tail = np.array([] if end is None else [end], dtype="<u4")
-        return [np.concatenate([self._gather(p), tail]) for p in parts]
+        return [
+            np.concatenate([np.frombuffer(whole[t], dtype="<u4") if p is None else self._gather(p), tail])
+            for t, p in zip(texts, parts)
+        ]
+
+    def _may_hold_special(self, text: str) -> bool:
+        """By the tokens' first signs, then, where those are met, by the tokens in lower case."""
+        if not any(s[:1] in text or s[:1].upper() in text for s in self.special):
+            return False
+        low = text.lower()
+        return any(s in low for s in self.special)
 
     def _gather(self, words: np.ndarray) -> np.ndarray:
         starts = self.starts[words]
