@@ -265,7 +265,8 @@ def classified(docs: DataFrame, threshold: float, width: int) -> DataFrame:
         .join(joined.withColumnRenamed("node", "rep"), "rep", "left")
         .withColumn("component", F.coalesce("component", "rep"))
     )
-    firsts = known.groupBy("component").agg(F.min("least").alias("first"))
+    # Staged, so that a component with very many rows can be split in the join.
+    firsts = staged(known.groupBy("component").agg(F.min("least").alias("first")))
     return rows.select("doc_id", "key", "mark").join(known.join(firsts, "component"), "key")
 
 
