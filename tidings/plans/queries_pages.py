@@ -287,7 +287,7 @@ def board_attachments(spark, sf):
     )
 
 
-_SQL_POSTS = f"""
+SQL_POSTS = f"""
     WITH {_SQL_BOARD}, posts AS (
       SELECT b.*, coalesce(nullif(no, ''), CAST(post AS VARCHAR)) AS external_id,
         2000 + doc_id % 25 AS y, 1 + doc_id % 12 AS m, 1 + doc_id % 28 AS dd,
@@ -315,7 +315,7 @@ def _crawled(spark, sf):
 
 
 SQL_CRAWLED = f"""
-    {_SQL_POSTS}
+    {SQL_POSTS}
     SELECT source_code, external_id, post_title AS title, url,
            {sql_content_hash('post_title', 'html')} AS content_hash,
            strftime(make_date(y, m, dd), '%Y-%m-%d') AS published_on
@@ -342,7 +342,7 @@ def crawl_notices(spark, sf):
 @query(
     "crawl_rejects",
     f"""
-    {_SQL_POSTS}
+    {SQL_POSTS}
     SELECT source_code, url, reason FROM judged WHERE reason IS NOT NULL
     """,
 )
@@ -356,7 +356,7 @@ def crawl_rejects(spark, sf):
 @query(
     "crawl_balance",
     f"""
-    {_SQL_POSTS}, placed AS (
+    {SQL_POSTS}, placed AS (
       SELECT *, row_number() OVER (PARTITION BY source_code, external_id ORDER BY list_page_id, pos) AS nth
       FROM judged WHERE reason IS NULL)
     SELECT j.source_code, count(*) AS links,
