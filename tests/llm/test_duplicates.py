@@ -271,3 +271,56 @@ def test_grid_join_of_lengths_and_shared_ids(llm, kind, monkeypatch):
         k = place[vec_id, tuple(v)]
         want[vec_id, count[k], least[root[k]], vec_id == least[root[k]]] += 1
     assert len(links) > 1000 and out == want
+
+
+def test_chunks_of_shared_and_missing_ids_are_compared(docs):
+    """One passage in texts under one id and without any: one text keeps it."""
+    draw = random.Random(31)
+    passage = " ".join(words(draw, 90))
+    texts = [f"{' '.join(words(draw, 30))} {passage} {' '.join(words(draw, 30))}" for _ in range(6)]
+    pairs = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (9, texts[4]), (None, texts[5])]
+    out = chunk_dedup.deduplicated(docs(pairs)).collect()
+    gone = sorted((r.doc_id is None, r.n_removed_words > 60) for r in out)
+    assert len(out) == 6 and [r.n_words for r in out] == [150] * 6
+    assert [g for _, g in gone].count(True) == 5
+    assert sum(r.doc_id == 5 and r.n_removed_words == 0 for r in out) == 1
+    only = chunk_dedup.deduplicated(docs([(None, texts[0]), (None, texts[1]), (None, texts[1])])).collect()
+    assert sorted(r.n_removed_words > 60 for r in only) in ([False, False, True], [False, True, True])
+
+
+def test_chunk_dedup_equals_brute_force(docs):
+    """Every document's runs against keepers found by plain dictionaries."""
+    draw = random.Random(32)
+    passages = [words(draw, n) for n in (20, 40, 60, 90, 200)]
+    pairs = []
+    for k in range(60):
+        text = words(draw, draw.randint(0, 60))
+        for _ in range(draw.randint(0, 3)):
+            at = draw.randint(0, len(text))
+            text[at:at] = draw.choice(passages)
+        pairs.append((k, " ".join(text)))
+    keeper = {}
+    chunks = {k: chunk_dedup.Chunks(t.encode()) for k, t in pairs}
+    for k, c in chunks.items():
+        for d in c.digests.tolist():
+            keeper.setdefault(d, k)
+    got = {r.doc_id: (r.n_removed_words, r.text) for r in chunk_dedup.deduplicated(docs(pairs)).collect()}
+    removed = 0
+    for k, text in pairs:
+        c, all_words = chunks[k], text.split(" ") if text else []
+        hit, seen = [False] * len(all_words), set()
+        for d, a, b in zip(c.digests.tolist(), c.first.tolist(), c.last.tolist()):
+            if keeper[d] != k or d in seen:
+                hit[a:b] = [True] * (b - a)
+            seen.add(d)
+        left, at = [], 0
+        while at < len(hit):
+            end = at
+            while end < len(hit) and hit[end] == hit[at]:
+                end += 1
+            if not hit[at] or end - at < chunk_dedup.RUN_WORDS:
+                left += all_words[at:end]
+            at = end
+        removed += len(all_words) - len(left)
+        assert got[k] == (len(all_words) - len(left), got[k][1]) and got[k][1].split() == left, k
+    assert removed > 1000

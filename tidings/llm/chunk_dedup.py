@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings.llm.catalog import in_arrow, narrow, query, raw_texts, table, unused
 from tidings.llm.words import U64, Powers, mix, span_hashes, spans
+from tidings.session import staged
 
 #: Words of the shortest chunk; shorter ones repeat by chance.
 CHUNK_WORDS = 8
@@ -104,19 +105,22 @@ class Chunks:
         return before[at].tolist()
 
 
+def node() -> Column:
+    """A document: a doc_id, which may be missing, with a text."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, digest) for each different chunk of each document."""
+    """node, doc_id and the different chunks of each document."""
 
     def work(batch):
-        found = [Chunks(t).new() for t in raw_texts(batch)]
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        return {
-            "doc_id": np.repeat(ids, [len(f) for f in found]),
-            "digest": np.concatenate(found).view(np.int64),
-        }
+        found = [Chunks(t).new().view(np.int64) for t in raw_texts(batch)]
+        ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+        return {"node": batch.column("node"), "doc_id": batch.column("doc_id"), "digests": lists}
 
-    rows = narrow(docs, "doc_id", "text").filter("doc_id IS NOT NULL")
-    return in_arrow(rows, work, "doc_id bigint, digest bigint")
+    rows = narrow(docs, "doc_id", "text").withColumn("node", node())
+    return in_arrow(rows, work, "node bigint, doc_id bigint, digests array<bigint>")
 
 
 def found_elsewhere(docs: DataFrame, column: str) -> DataFrame:
@@ -124,18 +128,29 @@ def found_elsewhere(docs: DataFrame, column: str) -> DataFrame:
 
     ``column`` must be no column of ``docs`` yet.
     """
-    rows, of = digests(docs), unused(docs, "of")
+    of, own = unused(docs, "of"), unused(docs, "own")
+    # Staged: the chunks are made once and read twice.
+    held = staged(digests(docs))
+    rows = held.select("node", "doc_id", F.explode("digests").alias("digest"))
     common = rows.groupBy("digest").agg(
-        F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")
+        F.min("node").alias("low"),
+        F.max("node").alias("high"),
+        F.min_by("node", "doc_id").alias("first"),
+    )
+    # Staged, so that of documents that share an id one stays the keeper, whatever is computed again.
+    common = staged(
+        common.filter("low <> high").select("digest", F.coalesce("first", "low").alias("keeper"))
     )
-    common = common.filter("keeper <> other").select("digest", "keeper")
     gone = (
-        rows.join(common, "digest")
-        .filter("doc_id <> keeper")
-        .groupBy(F.col("doc_id").alias(of))
+        rows.select("node", "digest")
+        .join(common, "digest")
+        .filter("node <> keeper")
+        .groupBy(F.col("node").alias(of))
         .agg(F.collect_set("digest").alias(column))
     )
-    return docs.join(gone, F.col("doc_id") == F.col(of), "left").drop(of)
+    # Staged, so that rows of one document, if very many, can be split in the join.
+    found = staged(gone)
+    return docs.withColumn(own, node()).join(found, F.col(own) == F.col(of), "left").drop(of, own)
 
 
 def shortened(raw: bytes, elsewhere) -> tuple[Chunks, list, bytes, list]:
@@ -153,8 +168,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     ``docs`` has doc_id and text; other columns are ignored. Returned per row: ``doc_id``;
     ``n_words`` before, ``n_removed_words``; ``removed``, the spans that went, as start:end in code
     points of the whole text, joined by commas; ``text``, what is left. Null or empty text stays
-    empty. Rows without doc_id count for no other and lose only what they repeat of themselves;
-    rows that share an id are one document. An empty table gives no rows.
+    empty. A document is a pair of doc_id and text, so texts under one id, or without any, are compared
+    with each other; of those under the least id one keeps a passage, and texts without an id come last.
+    Rows equal in both are one document and stay or go together. An empty table gives no rows.
     """
 
     def work(batch: pa.RecordBatch) -> dict:
