@@ -95,6 +95,36 @@ def test_disguises_without_narrow_gates(text, kind, found):
     assert found not in pd.clean(text) and f"[{kind.upper()}]" in pd.clean(text)
 
 
+@pytest.mark.parametrize("form", [
+    "john@example[ . ]com", "john@example<.>com", "john (  at  ) example.com", "john [  @  ] example.com",
+    "john_at_example.com", "john_at_example_dot_com", "john&#64;example&#46;com", "john&commat;example.com",
+    "john{at}example{dot}com", "john <at> example <dot> com", "john [at] example (dot) com",
+])
+def test_brackets_and_entities(form):
+    text = f"write {form} now"
+    (span,) = pd.hidden(text, pd.detect(text))
+    assert (span[0], text[span[1] : span[2]]) == ("email", form)
+    assert pd.clean(text) == "write [EMAIL] now"
+
+
+def test_the_gate_passes_what_the_rewriting_takes():
+    """Whatever form a sign is written in, a text that the gate holds back hides nothing."""
+    draw, taken = random.Random(8), 0
+    pad = lambda: " " * draw.choice((0, 0, 1, 2, 3))
+    for _ in range(4000):
+        sign = lambda names: draw.choice("[({<") + pad() + draw.choice(names) + pad() + draw.choice("])}>")
+        at = draw.choice([sign(("at", "@", "AT")), "_at_", "&#64;", " at ", "  at ", "@"])
+        dot = draw.choice([sign(("dot", ".", "Dot")), "_dot_", "&#46;", " dot ", "."])
+        text = f"so john{pad()}{at}{pad()}example{pad()}{dot}{pad()}com then"
+        if pd.disguised(text):
+            taken += 1
+            continue
+        base = pd.detect(text)
+        spans = [s for seen in pd.rewritings(text) for s in pd.detect(seen.text)]
+        assert len(spans) <= len(base), text
+    assert taken > 2000
+
+
 def test_a_long_run_of_spelled_digits_is_one():
     text = "plus " + "one " * 15 + "x " + "four " + "one " * 14 + "one " * 41 + "end"
     assert len(pd.digit_edits("one, " * 60)) == 120 - 1

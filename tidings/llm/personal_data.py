@@ -139,18 +139,19 @@ PLAIN_SET = frozenset(map(chr, PLAIN))
 
 _WORDS = "|".join(DIGIT_WORDS)
 _DOT = (
-    r"(?: \. | \x20{1,3} dot \x20{1,3} | \x20{0,3} [\[({<] \x20{0,3} (?:dot|\.) \x20{0,3} [\])}>] \x20{0,3} )"
+    r"(?: \. | _dot_ | \x20{1,3} dot \x20{1,3} | \x20{0,3} [\[({<] \x20{0,3} (?:dot|\.) \x20{0,3} [\])}>] \x20{0,3} )"
 )
 _AT = r"\x20{0,3} [\[({<] \x20{0,3} (?:at|@) \x20{0,3} [\])}>]"
 #: Signs in their disguises. Numbers of spaces and labels looked ahead at are bounded, so every search
 #: is linear. A bare "at" needs a label and a dot after it, which are not the local part of an address.
 SIGNS = re.compile(
     rf"""(?ix)
-    (?P<at> {_AT} \x20{{0,3}}
+    (?P<at> {_AT} \x20{{0,3}} | &(?:\#64|\#x40|commat);
+        | _at_ (?= [a-z0-9-]{{1,63}} {_DOT} [a-z0-9] )
         | \x20{{1,3}} at \x20{{1,3}} (?= [a-z0-9-]{{1,63}} {_DOT} [a-z0-9] )
             (?! [a-z0-9_%+-]{{1,63}}+ (?: {_DOT} [a-z0-9_%+-]{{1,63}}+ ){{0,6}}
                 (?: @ | {_AT} | \x20{{1,3}} at \x20{{1,3}} [a-z0-9-]{{1,63}}+ {_DOT} [a-z] ) ) )
-    | (?P<dot> \x20{{0,3}} [\[({{<] \x20{{0,3}} (?:dot|\.) \x20{{0,3}} [\])}}>] \x20{{0,3}}
+    | (?P<dot> &(?:\#46|\#x2e|period); | _dot_ (?= [a-z0-9] ) | \x20{{0,3}} [\[({{<] \x20{{0,3}} (?:dot|\.) \x20{{0,3}} [\])}}>] \x20{{0,3}}
         | \x20{{1,3}} dot \x20{{1,3}} (?= [a-z0-9] ) )
     """
 )
@@ -165,6 +166,9 @@ WORD_HINT = re.compile(
     rf"(?i)\b(?:{_WORDS}){_BETWEEN}(?:{_WORDS}|oh|dot|point|[0-9])|(?:[0-9]|\b(?:oh|dot|point)){_BETWEEN}(?:{_WORDS})\b"
 )
 BARE_AT = re.compile(r" +at +")
+#: Signs in brackets or as entities, as SIGNS takes them, in lower case.
+BRACKET_HINT = re.compile(r"[\[({<] {0,3}(?:at|dot|@|\.) {0,3}[\])}>]")
+ENTITY_HINT = re.compile(r"&(?:#64|#x40|commat|#46|#x2e|period);")
 LABEL = re.compile(r"[^\W_](?:[^\W_]|-)*")
 DISGUISED_DOT = re.compile(r"(?i) dot |[\[({<] *(?:dot|\.) *[\])}>]")
 #: A bare "at" before a label and a plain dot, in lower case.
@@ -239,9 +243,10 @@ def disguised(text: str) -> bool:
     low = text.lower()
     return (
         ("dot" in low and " dot " in low)
-        or any(b in low for b in ("(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "< at"))
-        or any(b in low for b in ("(@", "[@", "{@", "(.)", "[.]", "{.}", "[dot", "(dot", "{dot"))
-        or any(b in low for b in ("< @", "<@", "( @", "[ @", "{ @", "< dot", "<dot", "( dot", "[ dot"))
+        or BRACKET_HINT.search(low) is not None
+        or "_at_" in low
+        or "_dot_" in low
+        or ("&" in low and ENTITY_HINT.search(low) is not None)
         or (("zero" in low or "five" in low or "one" in low or "two" in low or "nine" in low
              or "three" in low or "four" in low or "six" in low or "seven" in low or "eight" in low)
             and WORD_HINT.search(text) is not None)
