@@ -124,3 +124,12 @@ def test_odd_rows(odd, empty, llm):
     assert by_id[1].base_failed and not by_id[1].kept and by_id[1].n_words == 0
     assert by_id[None].kept and by_id[7].n_words == 60_000
     assert nb_svm.scored(empty, model).count() == quality_rules.judged(empty, quality_rules.Logistic()).count() == 0
+
+
+def test_labels_of_absent_documents_take_no_place_in_the_sample(docs, llm):
+    """100 documents and a far wider table of labels: every usable label is used."""
+    pairs = [(i, f"text number {i}") for i in range(100)]
+    labels = llm.createDataFrame([(i, i % 2) for i in range(40_000)], "doc_id long, quality int")
+    x, y = labelled.sample(docs(pairs), labels, nb_svm.indicators, 200)
+    usable = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    assert len(x) == len(y) == len(usable) and int(y.sum()) == sum(i % 2 for i in usable)

@@ -34,6 +34,8 @@ def sample(docs: DataFrame, labels: DataFrame, features: Callable, rows: int = S
         narrow(labels, "doc_id", "quality")
         .filter("doc_id IS NOT NULL AND quality IN (0, 1)")
         .filter(~held_out(F.col("doc_id")))
+        # Labels of documents that are not there take no place in the sample.
+        .join(narrow(docs, "doc_id"), "doc_id", "left_semi")
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
