@@ -226,3 +226,15 @@ def test_dates_with_unicode_spaces_and_digits(apply):
 def test_published_date_in_other_digits(apply):
     found = apply(dates.published_at, ["２０２６.０２.09", "٢٠٢٦-٢-٩"])
     assert [f.strftime("%Y-%m-%d") for f in found] == ["2026-02-09"] * 2
+
+
+OPEN_NAMES = {
+    "<title>a&amp;&amp</title>": "a&&amp",
+    "<p>&copy 1 &lt;b&gt &eacute;": "&copy 1 <b&gt é",
+    "x\n<i title='\n'>&amp;</i>\n&amp": "x\n&\n&amp",
+    "&am<b>&#65 &unknown;</b>": "&am\nA &unknown",
+}
+
+
+def test_names_without_semicolon_stay_text(apply):
+    assert apply(text.visible_text, list(OPEN_NAMES)) == list(OPEN_NAMES.values())
