@@ -130,3 +130,26 @@ def test_a_query_reads_the_files_of_its_terms(spark, tmp_path):
     assert 0 < len({f.rsplit("bucket=")[1].split("/")[0] for f in everything}) > 20
     plan = found._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and "body" not in plan
+
+
+def test_postings_of_a_notice_are_made_without_a_shuffle(spark, tmp_path):
+    index = SearchIndex(spark, str(tmp_path / "index"))
+    rows = [(1, "B a b", "a a", ["b"]), (2, None, "", None)]
+    postings = index.postings_of(spark.createDataFrame(rows, SCHEMA))
+    assert "Exchange" not in postings._jdf.queryExecution().toString()
+    step = 1 << 40
+    got = {(r.term, r.id): (r.positions, r.lengths) for r in postings.collect()}
+    assert got == {("a", 1): ([1, step, step + 1], [3, 2, 1]), ("b", 1): ([0, 2, 2 * step], [3, 2, 1])}
+
+
+def test_merging_shuffles_no_postings(spark, tmp_path, monkeypatch):
+    index = SearchIndex(spark, str(tmp_path / "index"))
+    for rows in (NOTES[:3], NOTES[1:]):
+        index.add(spark.createDataFrame(rows, SCHEMA))
+    plans, store = [], index._store
+    monkeypatch.setattr(
+        index, "_store", lambda p, s: (plans.append(p._jdf.queryExecution().executedPlan().toString()), store(p, s))
+    )
+    index.merge()
+    assert "Scan parquet" in plans[0] and "Exchange hash" not in plans[0] and "Exchange range" not in plans[0]
+    check(spark, index, NOTES)

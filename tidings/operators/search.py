@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidings.functions.text import let
 from tidings.session import staged
 from tidings.sources.manifest import Manifest
 
@@ -27,6 +29,7 @@ FIELD_STEP = 1 << 40
 BUCKETS = 64
 
 POSTINGS = "term string, id bigint, positions array<bigint>, lengths array<bigint>, bucket int"
+_COLUMNS = ("term", "id", "positions", "lengths", "bucket")
 NOTES = "id bigint, segment string, lengths array<bigint>, live boolean"
 
 
@@ -43,6 +46,27 @@ def _placed(field_number: int):
     return lambda t, i: F.struct(t.alias("term"), (i + FIELD_STEP * field_number).alias("at"))
 
 
+def _gathered(placed: Column) -> Column:
+    """Terms of one notice with their positions in order. A notice is one row, so nothing is shuffled for it."""
+
+    def parted(ordered: Column) -> Column:
+        opens = lambda o, i: (i == 0) | (o["term"] != F.get(ordered, i - 1)["term"])
+        starts = F.array_compact(F.transform(ordered, lambda o, i: F.when(opens(o, i), i)))
+
+        def of_term(first: Column, last: Column) -> Column:
+            places = F.transform(F.slice(ordered, first + 1, last - first), lambda o: o["at"])
+            return F.struct(F.get(ordered, first)["term"].alias("term"), places.alias("positions"))
+
+        return let(
+            starts,
+            lambda known: F.transform(
+                known, lambda first, k: of_term(first, F.coalesce(F.get(known, k + 1), F.size(ordered)))
+            ),
+        )
+
+    return let(F.sort_array(placed), parted)
+
+
 def _of_field(number: int):
     return lambda p: F.floor(p / FIELD_STEP) == number
 
@@ -80,11 +104,8 @@ class SearchIndex:
         names = [f"f{k}" for k in range(len(fields))]
         placed = F.concat(*(F.transform(n, _placed(k)) for k, n in enumerate(names)))
         lengths = F.array(*(F.size(n).cast("long") for n in names))
-        # Notices are met once, so a term's places in one come from one row; only they are grouped.
-        occurrences = found.select("id", lengths.alias("lengths"), F.explode(placed).alias("o"))
-        return occurrences.groupBy(F.col("o.term").alias("term"), "id").agg(
-            F.sort_array(F.collect_list("o.at")).alias("positions"), F.first("lengths").alias("lengths")
-        )
+        postings = found.select("id", lengths.alias("lengths"), F.explode(_gathered(placed)).alias("p"))
+        return postings.select("p.term", "id", "p.positions", "lengths")
 
     def add(self, notices: DataFrame, removed: DataFrame | None = None) -> str:
         """Index new and changed notices (id and the fields; ids unique), and forget ``removed`` ids.
@@ -127,9 +148,14 @@ class SearchIndex:
         return segment
 
     def _write(self, postings: DataFrame, segment: str) -> None:
-        spread = postings.withColumn("bucket", _bucket(F.col("term"))).repartitionByRange("bucket", "term", "id")
-        ordered = spread.sortWithinPartitions("bucket", "term", "id")
-        ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{segment}")
+        # Large buckets are split and small ones put together by measured size, without a pass for samples.
+        spread = postings.withColumn("bucket", _bucket(F.col("term"))).hint("rebalance", F.col("bucket"))
+        self._store(spread, segment)
+
+    def _store(self, postings: DataFrame, segment: str) -> None:
+        ordered = postings.sortWithinPartitions("bucket", "term", "id")
+        writer = ordered.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket")
+        writer.parquet(f"{self.path}/postings/{segment}")
 
     def merge(self) -> str:
         """One segment of all that is live; readers of the older ones are not disturbed."""
@@ -139,9 +165,17 @@ class SearchIndex:
             return segments[0] if segments else ""
         merged = uuid.uuid4().hex
         live = self._live(segments)
-        everything = self._postings(segments)
-        kept = everything.join(live.select("id", "segment"), ["id", "segment"])
-        self._write(kept.select("term", "id", "positions", "lengths"), merged)
+        # A folder's postings go into the folder of the same bucket, so they are not shuffled: one scan for
+        # each bucket, whose tasks write that bucket's files. Nothing voids the last segment.
+        kept = []
+        for k, s in enumerate(segments):
+            rows = self._postings([s]).select(*_COLUMNS)
+            if segments[k + 1 :]:
+                rows = rows.join(self._notes(segments[k + 1 :]).select("id"), "id", "left_anti")
+            kept.append(rows.select(*_COLUMNS))
+        everything = reduce(DataFrame.unionByName, kept)
+        folders = [everything.filter(F.col("bucket") == b) for b in range(BUCKETS)]
+        self._store(reduce(DataFrame.unionByName, folders), merged)
         notes = live.select("id", F.lit(merged).alias("segment"), "lengths", F.lit(True).alias("live"))
         notes.write.mode("overwrite").parquet(f"{self.path}/notes/{merged}")
 
