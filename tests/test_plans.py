@@ -85,3 +85,13 @@ def test_only_fresh_rows_are_rebalanced(spark):
     merged = upsert_notices(stored, batch, "2024-06-01", layout=("source_code",))
     plan = plan_of(merged)
     assert plan.count("REBALANCE_PARTITIONS_BY_COL") == 1
+
+
+def test_board_templates_are_cut_up_when_planning(spark):
+    documents = spark.createDataFrame([(4, "{doc} {title}\n{y}"), (11, None)], "doc_id long, text string")
+    for render in (boards.list_pages, boards.detail_pages, boards.post_pages):
+        rendered = render(documents).filter("page_id IS NOT NULL")
+        plan = spark.range(1).join(rendered)._jdf.queryExecution().optimizedPlan().toString()
+        assert "{images}" not in plan and "{mm}" not in plan and "{href}" not in plan
+        found = [r.html for r in rendered.collect() if r.html is not None]
+        assert found and "{doc} {title}" in found[0]
