@@ -183,3 +183,25 @@ def test_odd_and_empty_tables(docs, odd, empty, libraries):
     assert got(alignment.aligned(odd, A, B)) == brute(libraries, ODD)
     none = [(1, None), (2, "a▁b"), (3, "")]
     assert got(alignment.aligned(docs(none), A, B)) == brute(libraries, none)
+
+
+def test_no_row_holds_a_block(docs, libraries):
+    rows = [(k, t) for k, t in enumerate(scrambled(100, 6, 200))]
+    blocks = alignment.short_blocks(docs(rows, 1).select("doc_id", "text"), A, B)
+    assert not [f.name for f in blocks.schema if f.dataType.typeName() == "array"]
+    found = blocks.collect()
+    assert len({r.block for r in found}) == 1
+    of_docs = [r for r in found if r.pair is None]
+    assert len(of_docs) == len(rows) and all(len(r["at"]) == 4 * r.n_links for r in of_docs)
+    links = Counter(p for _, t in rows for p in (plain(libraries, t) or ((), (), ()))[2])
+    assert {(r.pair >> 32, r.pair & 0xFFFFFFFF): r.times for r in found if r.pair is not None} == links
+
+
+def test_kept_chunks_are_bounded_in_bytes(found, monkeypatch):
+    texts = scrambled(200, 7)
+    monkeypatch.setattr("tidings.llm.fragments.KEPT_BYTES", 2000)
+    short = Aligner(A, B)
+    for text, want in zip(texts, found.aligned(texts)):
+        (own,) = short.aligned([text])
+        assert own[:2] == want[:2] and own[3] == want[3] and own[2].tolist() == want[2].tolist()
+        assert sum(map(len, short.numbers)) <= 2000 + len(text) + 1

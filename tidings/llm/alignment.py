@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.catalog import arrow_schema, narrow, query, record_batch, table
+from tidings.llm.catalog import BATCH_ROWS, arrow_schema, narrow, query, record_batch, table
 from tidings.llm.fragments import (
     EMPTY,
     SLICE,
@@ -34,42 +35,71 @@ from tidings.session import staged
 
 #: Links of a block, if no document alone has more.
 BLOCK_LINKS = 1 << 20
+#: Documents of a block at most.
+BLOCK_DOCS = 1 << 16
 #: Fragments that a task composes to one.
 FANOUT = 8
 
+#: Pairs of a block that leave a task as one batch of rows.
+PAIR_ROWS = 1 << 16
+#: Characters of texts aligned at once, about.
+TEXT_CHARS = 1 << 20
+
 _DOC = "doc_id bigint, `row` bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
-_BLOCK = f"block bigint, docs array<struct<{_DOC.replace(' bigint', ': bigint').replace(' string', ': string')}>>, pairs array<bigint>, times array<bigint>, at binary"
+#: Rows of a block: a document each, its links as places among the block's pairs in order; then a pair each.
+_BLOCK = f"block bigint, {_DOC}, at binary, pair bigint, times bigint"
 _FRAGMENT = "closed boolean, head_a array<bigint>, head_b array<bigint>, body binary, tail_a array<bigint>, tail_b array<bigint>"
 _COUNTS = "n_a bigint, n_b bigint, n_groups bigint, links binary"
 ROWS = f"{_DOC}, n_best bigint, count_sum bigint"
 
 
 def blocked(documents, schema: pa.Schema, long: bool) -> Iterator[pa.RecordBatch]:
-    """Blocks of (fields of a document, links) pairs. Blocks of slices have negative numbers."""
+    """Blocks of (fields of a document, links) pairs. Blocks of slices have negative numbers.
+
+    A block leaves as many short rows, so that writers and readers of rows never hold several blocks.
+    """
     number = TaskContext.get().partitionId() << 32
     docs, links, held = [], [], 0
 
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        own = {"block": np.full(n, -number - 1 if long else number)} | columns
+        return record_batch({f.name: own[f.name] if f.name in own else pa.nulls(n, f.type) for f in schema}, schema)
+
     def out():
         pairs, at, times = np.unique(np.concatenate(links), return_inverse=True, return_counts=True)
-        columns = {
-            "block": [-number - 1 if long else number],
-            "docs": [docs],
-            "pairs": [pairs],
-            "times": [times],
-            "at": [at.astype("<i4").tobytes()],
-        }
-        return record_batch(columns, schema)
+        ends = np.cumsum([len(own) for own in links])
+        places = np.split(at.astype("<i4"), ends[:-1])
+        for k in range(0, len(docs), BATCH_ROWS):
+            some = docs[k : k + BATCH_ROWS]
+            fields = {name: [d[name] for d in some] for name in some[0]}
+            yield rows(len(some), at=[p.tobytes() for p in places[k : k + BATCH_ROWS]], **fields)
+        for k in range(0, len(pairs), PAIR_ROWS):
+            some = pairs[k : k + PAIR_ROWS]
+            yield rows(len(some), pair=some, times=times[k : k + PAIR_ROWS])
 
     for doc, own in documents:
         docs.append(doc)
         links.append(own)
         held += len(own)
-        if held >= BLOCK_LINKS or len(docs) >= BLOCK_LINKS:
-            yield out()
+        if held >= BLOCK_LINKS or len(docs) >= BLOCK_DOCS:
+            yield from out()
             number += 1
             docs, links, held = [], [], 0
     if docs:
-        yield out()
+        yield from out()
+
+
+def runs_of(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """The texts in runs of about so many characters."""
+    own, held = [], 0
+    for text in texts:
+        own.append(text)
+        held += len(text)
+        if held >= chars:
+            yield own
+            own, held = [], 0
+    if own:
+        yield own
 
 
 def short_blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -78,8 +108,8 @@ def short_blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             found = aligner(a_path, b_path)
             for batch in batches:
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                ids = batch.column(0).to_pylist()
-                for doc_id, (n_a, n_b, links, groups) in zip(ids, found.aligned(texts)):
+                done = chain.from_iterable(map(found.aligned, runs_of(texts, TEXT_CHARS)))
+                for doc_id, (n_a, n_b, links, groups) in zip(batch.column(0).to_pylist(), done):
                     sha = hashlib.sha256(groups).hexdigest() if n_a else ""
                     yield {
                         "doc_id": doc_id, "row": None, "n_a": n_a, "n_b": n_b,
@@ -146,32 +176,32 @@ def composed(fragments: DataFrame, fanout: int = FANOUT) -> DataFrame:
     rows = f"`row` bigint, no int, {_FRAGMENT}"
     schema = arrow_schema(rows)
 
-    def work(group: pa.Table) -> pa.Table:
+    def work(group: pa.Table) -> tuple[int, int, Fragment]:
         out = EMPTY
         for r in group.sort_by("no").to_pylist():
             heads = tuple(r["head_a"]), tuple(r["head_b"])
             tails = tuple(r["tail_a"]), tuple(r["tail_b"])
             out = compose(out, Fragment(r["closed"], heads, r["body"], tails))
-        columns = {"row": [r["row"]], "no": [r["no"] // fanout]} | _columns(out)
-        return pa.Table.from_batches([record_batch(columns, schema)])
+        return r["row"], r["no"] // fanout, out
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shas = []
-            for r in batch.to_pylist():
-                heads = tuple(r["head_a"]), tuple(r["head_b"])
-                whole = Fragment(r["closed"], heads, r["body"], ((), ()))
-                shas.append(hashlib.sha256(finished(whole)).hexdigest())
-            yield record_batch({"row": batch.column("row"), "groups_sha256": shas}, digests)
+    def joined(group: pa.Table) -> pa.Table:
+        row, no, out = work(group)
+        return pa.Table.from_batches([record_batch({"row": [row], "no": [no]} | _columns(out), schema)])
+
+    def digest(group: pa.Table) -> pa.Table:
+        row, _, out = work(group)
+        sha = hashlib.sha256(finished(out)).hexdigest()
+        return pa.Table.from_batches([record_batch({"row": [row], "groups_sha256": [sha]}, digests)])
 
     digests = arrow_schema("`row` bigint, groups_sha256 string")
     level = fragments.select("row", "no", "closed", "head_a", "head_b", "body", "tail_a", "tail_b")
     most = level.agg(F.max("no")).first()[0] or 0
     while True:
-        level = level.groupBy("row", F.expr(f"no div {fanout}")).applyInArrow(work, rows)
+        groups = level.groupBy("row", F.expr(f"no div {fanout}"))
         most //= fanout
         if not most:
-            return level.mapInArrow(digest, "`row` bigint, groups_sha256 string")
+            return groups.applyInArrow(digest, "`row` bigint, groups_sha256 string")
+        level = groups.applyInArrow(joined, rows)
 
 
 def long_blocks(fragments: DataFrame) -> DataFrame:
@@ -192,10 +222,7 @@ def long_blocks(fragments: DataFrame) -> DataFrame:
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
     """pair, its links in the corpus, and whether no other pair of its second id has more."""
-    counts = blocks.select(F.explode(F.arrays_zip("pairs", "times")).alias("x")).groupBy(
-        F.col("x.pairs").alias("pair")
-    ).agg(F.sum("x.times").alias("count"))
-    counts = staged(counts)
+    counts = staged(blocks.filter("pair IS NOT NULL").groupBy("pair").agg(F.sum("times").alias("count")))
     second = F.col("pair").bitwiseAND(0xFFFFFFFF)
     most = counts.groupBy(second.alias("b")).agg(F.max("count").alias("most"))
     best = (F.col("count") == F.col("most")).alias("best")
@@ -203,35 +230,25 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
 
 
 def looked_up(blocks: DataFrame, counts: DataFrame) -> DataFrame:
-    """The documents of the blocks with their links' counts."""
-    asked = blocks.select("block", F.posexplode("pairs").alias("place", "pair"))
-    answers = asked.join(counts, "pair").groupBy("block").agg(
-        F.collect_list(F.struct("place", "count", "best")).alias("answers")
-    )
+    """The documents of the blocks with their links' counts; a task holds one block at a time."""
+    asked = blocks.filter("pair IS NOT NULL").select(F.col("block").alias("asking"), "pair")
+    answers = asked.join(counts, "pair")
+    documents = blocks.filter("pair IS NULL").drop("pair", "times")
     rows = arrow_schema(ROWS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                docs, at, given = (batch.column(c)[k] for c in ("docs", "at", "answers"))
-                docs = pa.RecordBatch.from_struct_array(docs.values)
-                where = np.frombuffer(at.as_py(), dtype="<i4")
-                sums = []
-                for column in ("best", "count"):
-                    values = np.zeros(len(where), dtype=np.int64)
-                    if given.is_valid:
-                        place = given.values.field("place").to_numpy()
-                        known = np.zeros(len(place), dtype=np.int64)
-                        known[place] = given.values.field(column).to_numpy(zero_copy_only=False)
-                        values = known[where]
-                    ends = np.cumsum(docs.column("n_links").to_numpy())
-                    before = np.concatenate([[0], np.cumsum(values)])
-                    sums.append(np.diff(before[np.concatenate([[0], ends])]))
-                columns = {n: docs.column(n) for n in docs.schema.names}
-                yield record_batch(columns | {"n_best": sums[0], "count_sum": sums[1]}, rows)
-
-    joined = blocks.select("block", "docs", "at").join(answers, "block", "left")
-    return joined.select("docs", "at", "answers").mapInArrow(run, ROWS)
+    def work(docs: pa.Table, given: pa.Table) -> pa.Table:
+        order = np.argsort(given.column("pair").to_numpy())
+        where = np.frombuffer(b"".join(docs.column("at").to_pylist()), dtype="<i4")
+        ends = np.concatenate([[0], np.cumsum(docs.column("n_links").to_numpy())])
+        sums = {}
+        for name, column in (("n_best", "best"), ("count_sum", "count")):
+            known = given.column(column).to_numpy().astype(np.int64)[order]
+            before = np.concatenate([[0], np.cumsum(known[where])])
+            sums[name] = np.diff(before[ends])
+        columns = {n: docs.column(n).combine_chunks() for n in rows.names if n not in sums}
+        return pa.Table.from_batches([record_batch(columns | sums, rows)])
+
+    return documents.groupBy("block").cogroup(answers.groupBy("asking")).applyInArrow(work, ROWS)
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, size: int = SLICE) -> DataFrame:

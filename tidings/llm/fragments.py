@@ -23,6 +23,8 @@ RUN = re.compile(rf"[{WHITE}]{{2}}|\A[{WHITE}]|[{WHITE}]\Z")
 JOINABLE = re.compile(rf"[ \n][^{WHITE}](?:.*[^{WHITE}])?", re.DOTALL)
 #: Chunks kept by a worker; beyond it the memory is emptied, which changes no result.
 KEPT_CHUNKS = 400_000
+#: Likewise the characters of kept chunks and the bytes of their groups.
+KEPT_BYTES = 1 << 26
 #: Characters of new chunks tokenized as one string.
 JOINED = 1 << 16
 
@@ -118,6 +120,7 @@ class Aligner:
     def _forget(self) -> None:
         self.numbers: dict[str, int] = {}
         self.groups: list[bytes] = []
+        self.held = 0
         self.counts = np.zeros((0, 4), dtype=np.int64)  # n_a, n_b, links, and whether it fails
         self.flat = np.zeros(0, dtype=np.int64)
         self.starts = np.zeros(1, dtype=np.int64)
@@ -153,10 +156,13 @@ class Aligner:
 
     def aligned(self, texts: list[str]) -> list[tuple[int, int, np.ndarray, bytes]]:
         """n_a, n_b, links and rendered groups of every text."""
-        if len(self.numbers) > KEPT_CHUNKS:
+        if len(self.numbers) > KEPT_CHUNKS or self.held > KEPT_BYTES:
             self._forget()
         parts = [self.chunks(t) if t else [] for t in texts]
-        self._learn(list(set().union(*parts).difference(self.numbers)))
+        fresh = list(set().union(*parts).difference(self.numbers))
+        known = len(self.groups)
+        self._learn(fresh)
+        self.held += sum(map(len, fresh)) + sum(map(len, self.groups[known:]))
         look, group = self.numbers.__getitem__, self.groups.__getitem__
         out = []
         for own in parts:
