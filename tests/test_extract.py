@@ -5,11 +5,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidings.functions.dom import parse_html
+from tidings.functions.dom import escape, parse_html
 from tidings.operators.details import extract_details
 from tidings.operators.links import extract_links
 from tidings.plans.sites import SITES
-from tidings.sources.pages import decoded, split_by_size, trees
+from tidings.sources.pages import decoded, split_by_size, split_readable, trees
 
 BASE = "https://site.example/board/list.do?mode=list"
 
@@ -360,3 +360,18 @@ def test_page_work_is_linear(spark, unit):
     seconds(1000)
     small, large = (min(seconds(n) for _ in range(2)) for n in (50_000, 200_000))
     assert large < 6 * small + 1
+
+
+def test_unreadable_pages_are_found_in_one_reading(spark):
+    html = [None, "", "short", "long enough to go"]
+    pages = spark.createDataFrame([("glc", f"u{k}", h, k) for k, h in enumerate(html)], "source_code string, url string, html string, page_id int")
+    kept, rejected = split_readable(pages, 10, ["page_id"])
+    assert sorted(r.url for r in kept.collect()) == ["u1", "u2"]
+    assert sorted(map(tuple, rejected.collect())) == [("glc", "u0", "no_content", None, 0), ("glc", "u3", "page_too_large", "17", 3)]
+    plan = rejected._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+
+
+def test_escaped_texts(apply):
+    rows = {"plain": "plain", "": "", "a & b": "a &amp; b", "<&lt;>": "&lt;&amp;lt;&gt;", "漢 > é": "漢 &gt; é"}
+    assert apply(escape, list(rows)) == list(rows.values())
